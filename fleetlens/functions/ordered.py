@@ -41,12 +41,13 @@ def order_segments(df: DataFrame, group: Sequence[str], order: Sequence[Column])
     return durable(laid).withColumn(SEG, F.shiftright(F.col(POS), _PARTITION_BITS))
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns of two frames."""
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on null-safe equal keys; the key columns of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(named, cond).drop(*[f"_k_{k}" for k in keys])
 
 
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
@@ -60,9 +61,8 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         *group, SEG,
         (F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_base"),
     )
-    out = laid.join(base, same_key(laid, base, [*group, SEG]))
-    return out.select(*[laid[c] for c in df.columns],
-                      (laid[POS] - base["_base"] + 1).cast("long").alias(name))
+    out = attach(laid, base, [*group, SEG])
+    return out.select(*df.columns, (F.col(POS) - F.col("_base") + 1).cast("long").alias(name))
 
 
 def previous_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
@@ -115,11 +115,10 @@ def clamped_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         for t in deltas})
     starts = runs.select(*group, SEG, *[
         F.coalesce(F.lag(f"_end_{t}").over(before), F.lit(0)).alias(f"_start_{t}") for t in deltas])
-    out = walk.join(starts, same_key(walk, starts, [*group, SEG]))
+    out = attach(walk, starts, [*group, SEG])
     return out.select(
-        *[walk[c] for c in df.columns],
-        *[(walk[f"_s_{t}"] + F.greatest(starts[f"_start_{t}"], walk[f"_low_{t}"]))
-          .cast("long").alias(t) for t in deltas])
+        *df.columns,
+        *[(F.col(f"_s_{t}") + F.greatest(f"_start_{t}", f"_low_{t}")).cast("long").alias(t) for t in deltas])
 
 
 def first_k_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,

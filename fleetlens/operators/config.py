@@ -53,23 +53,23 @@ def resolve_config(entries: DataFrame) -> DataFrame:
 
 
 def _merge(base: DataFrame, other: DataFrame, overwrite: Column) -> DataFrame:
-    left = base.select("section", F.coalesce("component", F.lit("")).alias("component"), "key", F.col("value").alias("_b"),
-                       F.lit(True).alias("_hb"))
-    right = other.select("section", F.coalesce("component", F.lit("")).alias("component"), "key", F.col("value").alias("_o"),
-                         F.lit(True).alias("_ho"))
-    both = left.join(right, ["section", "component", "key"], "full")
+    keys = ["doc", "section", "component", "key"]
+    plain = F.coalesce("component", F.lit("")).alias("component")
+    left = base.select("doc", "section", plain, "key", F.col("value").alias("_b"), F.lit(True).alias("_hb"))
+    right = other.select("doc", "section", plain, "key", F.col("value").alias("_o"), F.lit(True).alias("_ho"))
+    both = left.join(right, keys, "full")
     value = F.when(F.col("_ho") & (overwrite | F.col("_hb").isNull()), F.col("_o")).otherwise(F.col("_b"))
-    return both.select("section", F.when(F.col("section") == "component", F.col("component")).alias("component"), "key",
-                       value.alias("value"))
+    return both.select("doc", "section", F.when(F.col("section") == "component", F.col("component")).alias("component"),
+                       "key", value.alias("value"))
 
 
 def merge_config(base: DataFrame, over: DataFrame) -> DataFrame:
-    """Entries of two documents together; the second one wins."""
+    """Two layers of each document together; the second one wins."""
     return _merge(base, over, F.lit(True))
 
 
 def merge_config_keep(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """As ``merge_config`` but the first document wins, except for metadata."""
+    """As ``merge_config`` but the first layer wins, except for metadata."""
     return _merge(base, extra, F.col("section") == "metadata")
 
 

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 # fixed value: the only readable record version
 VERSION = 1
 
-RECORD_SCHEMA = """
- kind string, version int, saved_ms bigint, saved_hex string, saved_date string, roles int,
- host string, role_id int, active boolean, last_used bigint, count bigint"""
-
 _BODY = ("struct<version:int,saved:bigint,savedx:string,savedate:string,roles:int,"
          "host:string,role:int,active:boolean,last_used:bigint,count:bigint>")
 
@@ -39,7 +35,7 @@ def history_snapshot(cells: DataFrame, saved_ms: int) -> DataFrame:
     totals = cells.agg(F.count_distinct("role_id").cast("int").alias("_roles"), F.count("*").alias("_count"))
     ends = totals.select(F.inline(F.array(
         F.struct(F.lit("header").alias("kind"), F.col("_roles").alias("roles"), none("long").alias("count")),
-        F.struct(F.lit("footer"), none("int"), F.col("_count"))))).select(
+        F.struct(F.lit("footer").alias("kind"), none("int").alias("roles"), F.col("_count").alias("count"))))).select(
         snapshot_name(at).alias("saved"), "kind", F.lit(VERSION).alias("version"), at.alias("saved_ms"), "roles",
         none("string").alias("host"), none("int").alias("role_id"), none("boolean").alias("active"),
         none("long").alias("last_used"), "count")
@@ -114,14 +110,10 @@ def latest_valid_snapshot(records: DataFrame) -> DataFrame:
 
 
 def expired_snapshots(snapshots: DataFrame, keep: str) -> DataFrame:
-    """Snapshots strictly older than the kept one; an error when that one is missing.
-
-    The check is part of the plan, so nothing runs until the result is used.
-    """
-    kept = snapshots.agg(F.count_if(F.col("saved") == keep).alias("_kept"))
-    # one row, hence safe to broadcast
-    return snapshots.join(F.broadcast(kept), F.assert_true(F.col("_kept") > 0, f"no snapshot {keep}").isNull()).filter(
-        F.col("saved") < keep).select("saved")
+    """Snapshots strictly older than the kept one; an error when that one is missing."""
+    if snapshots.filter(F.col("saved") == keep).isEmpty():
+        raise ValueError(f"no snapshot {keep}")
+    return snapshots.filter(F.col("saved") < keep).select("saved")
 
 
 def restore_history(entries: DataFrame) -> DataFrame:
