@@ -146,15 +146,18 @@ def first_k_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 def join_counted(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: str,
                  spread: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join many rows to one row per key when some keys are very large.
+    """Join many rows to one row per key when some keys may be very large.
 
-    ``small[rows]`` is the number of ``big`` rows of that key. Keys above ``hot_rows``
-    are dealt over as many shares as they need and the matching small row is copied to
-    each share; all other keys join as usual. The list of hot keys has at most
-    ``total rows / hot_rows`` entries, which is what makes it safe to broadcast.
+    ``small`` is a written table (see ``session.durable``) and ``small[rows]`` the number
+    of ``big`` rows of its key. Without a key above ``hot_rows`` this is an ordinary join.
+    Otherwise the rows of hot keys are dealt over as many shares as they need, and the
+    small row is copied to each share. There are at most ``total rows / hot_rows`` hot
+    keys, which is what makes their list safe to broadcast.
     """
     shares = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
     hot = small.filter(F.col(rows) > hot_rows).select(*keys, shares.alias("_shares"))
+    if hot.isEmpty():
+        return big.join(small, list(keys), how)
     dealt = (
         big.join(F.broadcast(hot), list(keys), "left")
         .withColumn("_share", F.when(F.col("_shares").isNull(), F.lit(0)).otherwise(

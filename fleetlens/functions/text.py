@@ -19,6 +19,32 @@ def lines_with_ends(text: Column) -> Column:
     return F.filter(F.split(text, _LINE_END), lambda p: p != "")
 
 
+def has_cr(text: Column) -> Column:
+    return F.contains(text, F.lit("\r"))
+
+
+def plain_lines(text: Column) -> Column:
+    """Lines without their ends; texts with LF only take the cheap split."""
+    mixed = F.transform(lines_with_ends(text), lambda p: F.btrim(p, F.lit("\r\n")))
+    return F.when(has_cr(text), mixed).when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(text, "\n"))
+
+
+def first_lines(text: Column, n: Column) -> Column:
+    """The first ``n`` lines of an LF text."""
+    return F.call_function("substring_index", text, F.lit("\n"), n)
+
+
+def last_lines(text: Column, n: Column) -> Column:
+    """The last ``n`` lines of an LF text."""
+    return F.call_function("substring_index", text, F.lit("\n"), -n)
+
+
+def line_ends(text: Column) -> Column:
+    """Number of LFs in a text."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def contains_any_case(line: Column, phrase: str) -> Column:
     return F.contains(F.lower(line), F.lit(phrase.lower()))
 

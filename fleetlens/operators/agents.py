@@ -119,13 +119,14 @@ def component_state(reports: DataFrame) -> DataFrame:
             wrong.append(int(bad))
     next_of = F.array(*[F.lit(i) for i in moved])
     bad_of = F.array(*[F.lit(i) for i in wrong])
-    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct(
+    every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct(
         i.alias("at"), F.lit(0).cast("long").alias("illegal")))
+    only_first = F.slice(every, 1, 1)
 
     coded = reports.select("label", "seq", _move_code().alias("move"))
     laid = order_segments(coded, ["label"], [F.col("seq").asc()])
 
-    def play(moves: Column) -> Column:
+    def play(moves: Column, start: Column) -> Column:
         def one(acc: Column, m: Column) -> Column:
             at = lambda s: m["move"] * width + s["at"] + 1
             return F.transform(acc, lambda s: F.struct(
@@ -138,12 +139,16 @@ def component_state(reports: DataFrame) -> DataFrame:
             return F.transform(acc, lambda s: F.struct(
                 F.element_at(p["effect"], s["at"] + 1)["at"].alias("at"),
                 (s["illegal"] + F.element_at(p["effect"], s["at"] + 1)["illegal"]).alias("illegal")))
-        return F.aggregate(pieces, start, one)
+        return F.aggregate(pieces, F.slice(every, 1, F.size(pieces[0]["effect"])), one)
 
+    # a stretch that begins inside a chunk is the first of its label, so its start is known;
+    # only the one that begins a chunk may be a continuation and needs every start
+    begun = F.col("_from").bitwiseAND((1 << CHUNK_BITS) - 1) != 0
     chunk = laid.withColumn("_chunk", F.shiftright(F.col(POS), CHUNK_BITS)).groupBy("label", SEG, "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct(POS, "move"))).alias("_m"),
+        F.sort_array(F.collect_list(F.struct(POS, "move"))).alias("_m"), F.min(POS).alias("_from"),
         F.count("*").alias("reports"), F.max("seq").alias("last_seq"),
-    ).select("label", SEG, "_chunk", "reports", "last_seq", play(F.col("_m")).alias("effect"))
+    ).select("label", SEG, "_chunk", "reports", "last_seq",
+             play(F.col("_m"), F.when(begun, only_first).otherwise(every)).alias("effect"))
 
     def level(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         return df.groupBy(*keys).agg(

@@ -24,8 +24,7 @@ MAX_RESOURCE = "max"
 MAX_SUBSTITUTIONS = 19
 TREE_ORDER = ("internal", "app_conf", "resources")
 
-COLUMNS = ("doc", "section", "component", "key", "value")
-_ID = ["doc", "section", "component", "key"]
+ROUNDS_PER_CUT = 4
 
 
 def _components(entries: DataFrame) -> DataFrame:
@@ -109,42 +108,47 @@ def substitute_vars(entries: DataFrame, scope: tuple[str, ...] = ("doc", "compon
 
     One reference per round, the leftmost innermost first, at most 19 rounds; a value
     stops at the first unknown name. Every round is a join of the values still open
-    with the raw entries they name, so no document has to fit into one row; rounds end
-    as soon as nothing is open.
+    with the raw entries they name, so no document has to fit into one row. After every
+    few rounds the values are written out, finished ones are set aside, and the work
+    ends as soon as nothing is open.
     """
     keys = [*scope]
     raw = entries.filter(F.col("key").isNotNull()).select(
-        *keys, F.col("key").alias("_name"), F.col("value").alias("_v"))
-    scoped = keys + ["_name"]
-    rest = [c for c in entries.columns if c != "value"]
-
-    def named(df: DataFrame) -> DataFrame:
-        found = F.regexp_extract(F.col("value"), f"({_VARIABLE})", 1)
-        return df.withColumn("_name", F.when(found != "", F.substring(
-            found, F.lit(3), F.length(found) - 3)))
-
-    current = named(entries)
-    done = current.filter(F.col("_name").isNull()).drop("_name")
-    pending = current.filter(F.col("_name").isNotNull())
-    for _ in range(MAX_SUBSTITUTIONS):
-        left, right = pending.alias("p"), raw.alias("r")
-        cond = F.lit(True)
-        for k in scoped:
-            cond = cond & F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}"))
-        joined = left.join(right, cond, "left").select(
-            *[F.col(f"p.{c}") for c in [*rest, "value", "_name"]], F.col("r._v").alias("_v"))
-        start = F.regexp_instr(F.col("value"), F.lit(f"({_VARIABLE})"))
-        swapped = F.concat(
-            F.substring(F.col("value"), F.lit(1), start - 1), F.col("_v"),
-            F.substring(F.col("value"), start + F.length("_name") + 3, F.lit(2147483647)))
-        stepped = durable(joined.withColumn("_next", swapped))
-        done = done.unionByName(stepped.filter(F.col("_v").isNull()).select(*rest, "value"))
-        advanced = named(stepped.filter(F.col("_v").isNotNull()).select(*rest, F.col("_next").alias("value")))
-        done = done.unionByName(advanced.filter(F.col("_name").isNull()).drop("_name"))
-        pending = advanced.filter(F.col("_name").isNotNull())
+        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("key").alias("_r_name"), F.col("value").alias("_v"))
+    match = F.col("_name") == F.col("_r_name")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+
+    def reference(value: Column) -> Column:
+        found = F.regexp_extract(value, f"({_VARIABLE})", 1)
+        return F.when(found != "", F.substring(found, F.lit(3), F.length(found) - 3))
+
+    value, start = F.col("value"), F.regexp_instr(F.col("value"), F.lit(f"({_VARIABLE})"))
+    swapped = F.concat(F.substring(value, F.lit(1), start - 1), F.col("_v"),
+                       F.substring(value, start + F.length("_name") + 3, F.lit(2147483647)))
+    columns = entries.columns
+    rounds = 0
+    pending = entries.withColumn("_name", reference(value))
+    finished = [pending.filter(F.col("_name").isNull()).select(*columns)]
+    pending = pending.filter(F.col("_name").isNotNull())
+    while rounds < MAX_SUBSTITUTIONS:
+        for _ in range(min(ROUNDS_PER_CUT, MAX_SUBSTITUTIONS - rounds)):
+            rounds += 1
+            known = F.col("_v").isNotNull()
+            pending = (
+                pending.join(raw, match, "left").withColumn("value", F.when(known, swapped).otherwise(value))
+                .withColumn("_name", F.when(known, reference(value))).select(*columns, "_name"))
+        pending = durable(pending)
+        finished.append(pending.filter(F.col("_name").isNull()).select(*columns))
+        pending = pending.filter(F.col("_name").isNotNull())
         if pending.isEmpty():
             break
-    return done.unionByName(pending.drop("_name")).select(*entries.columns)
+    else:
+        finished.append(pending.select(*columns))
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def config_lookup(entries: DataFrame, wanted: DataFrame) -> DataFrame:

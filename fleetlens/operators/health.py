@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.ordered import join_counted, previous_in_group
 from fleetlens.operators.lifecycle import millis
+from fleetlens.session import durable
 
 # fixed values: phases in order, and default limits in milliseconds
 PHASES = ("INIT", "DEPENDENCY_CHECKING", "BOOTSTRAPPING", "LIVE", "TERMINATING")
@@ -32,17 +33,17 @@ def _ran(kind: str) -> Column:
 
 def _service_milestones(statuses: DataFrame, bootstrap_ms: int) -> DataFrame:
     """Per service: rows, dep_done, boot_start_ts, boot_done and timeout_seq."""
-    cycles = statuses.groupBy("service", "cycle").agg(
+    cycles = durable(statuses.groupBy("service", "cycle").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq"),
         F.min_by("ts", "seq").alias("start_ts"), F.max_by("ts", "seq").alias("end_ts"),
         _ran("dependency").alias("deps"), _failed("dependency").alias("dep_failed"),
-        _ran("monitor").alias("mons"), _failed("monitor").alias("mon_failed"))
+        _ran("monitor").alias("mons"), _failed("monitor").alias("mon_failed")))
     passed = F.when((F.col("deps") > 0) & (F.col("dep_failed") == 0), F.col("cycle"))
     none = F.sum("deps") == 0
-    first = cycles.groupBy("service").agg(
+    first = durable(cycles.groupBy("service").agg(
         F.sum("n").alias("rows"), F.count("*").alias("cycles"),
         F.when(none, F.min("cycle")).otherwise(F.min(passed)).alias("dep_done"),
-        F.when(none, F.min_by("end_ts", "cycle")).otherwise(F.min_by("end_ts", passed)).alias("boot_start_ts"))
+        F.when(none, F.min_by("end_ts", "cycle")).otherwise(F.min_by("end_ts", passed)).alias("boot_start_ts")))
     if bootstrap_ms <= 0:
         return first.select("service", "rows", "dep_done", "boot_start_ts", F.col("dep_done").alias("boot_done"),
                             F.lit(None).cast("long").alias("timeout_seq"))
@@ -56,8 +57,8 @@ def _service_milestones(statuses: DataFrame, bootstrap_ms: int) -> DataFrame:
     over = F.col("_late") <= F.coalesce(F.col("boot_done"), F.lit(2**62))
     marks = marks.select("service", F.when(~F.coalesce(over, F.lit(False)), F.col("boot_done")).alias("boot_done"),
                          F.when(over, F.col("timeout_seq")).alias("timeout_seq"))
-    return first.join(marks, "service").select(
-        "service", "rows", "dep_done", "boot_start_ts", "boot_done", "timeout_seq")
+    return durable(first.join(marks, "service").select(
+        "service", "rows", "dep_done", "boot_start_ts", "boot_done", "timeout_seq"))
 
 
 def _booted(statuses: DataFrame, milestones: DataFrame) -> DataFrame:
@@ -65,35 +66,32 @@ def _booted(statuses: DataFrame, milestones: DataFrame) -> DataFrame:
     m = milestones.select("service", "rows", "dep_done")
     rows = join_counted(statuses.filter(F.col("kind") == "monitor"), m, ["service"], "rows", ["seq"])
     ok = F.when(F.col("success") & (F.col("cycle") > F.col("dep_done")), F.col("seq"))
-    return rows.groupBy("service", "probe").agg(
-        F.count("*").alias("probe_rows"), F.min(ok).alias("booted_seq"), F.min_by("ts", ok).alias("booted_ts"))
+    return durable(rows.groupBy("service", "probe").agg(
+        F.count("*").alias("probe_rows"), F.min(ok).alias("booted_seq"), F.min_by("ts", ok).alias("booted_ts")))
 
 
 def label_phases(statuses: DataFrame, bootstrap_ms: int = BOOTSTRAP_TIMEOUT_MS) -> DataFrame:
     """Every status with the phase it was taken in and whether its probe had booted."""
     milestones = _service_milestones(statuses, bootstrap_ms)
     booted = _booted(statuses, milestones)
-    marked = join_counted(statuses, milestones, ["service"], "rows", ["seq"]).drop("rows")
-    with_boot = _join_booted(marked, booted)
+    with_boot = join_counted(
+        join_counted(statuses, milestones, ["service"], "rows", ["seq"]),
+        booted, ["service", "probe"], "probe_rows", ["seq"], how="left")
     in_boot = (F.col("cycle") > F.col("dep_done")) & (
         F.col("boot_done").isNull() | (F.col("cycle") <= F.col("boot_done")))
     is_live = F.col("cycle") > F.col("boot_done")
     had_booted = F.coalesce(F.col("booted_seq") < F.col("seq"), F.lit(False))
     fatal = (F.col("kind") == "monitor") & ~F.col("success") & ((in_boot & had_booted) | is_live)
-    ends = with_boot.filter(F.coalesce(fatal, F.lit(False))).groupBy("service").agg(F.min("seq").alias("fatal_seq"))
-    rows = milestones.select("service", "rows")
-    final = join_counted(with_boot, rows.join(ends, "service", "left"), ["service"], "rows", ["seq"]).drop("rows")
-    stop = F.least(F.col("fatal_seq"), F.col("timeout_seq") - 1)
+    stops = durable(with_boot.groupBy("service").agg(
+        F.count("*").alias("rows"),
+        F.least(F.min(F.when(fatal, F.col("seq"))), F.min("timeout_seq") - 1).alias("stop")))
+    final = join_counted(with_boot.drop("rows"), stops, ["service"], "rows", ["seq"])
     phase = (
-        F.when(F.col("seq") > stop, "TERMINATING").when(is_live, "LIVE")
+        F.when(F.col("seq") > F.col("stop"), "TERMINATING").when(is_live, "LIVE")
         .when(in_boot, "BOOTSTRAPPING").otherwise("DEPENDENCY_CHECKING"))
     return final.select(*statuses.columns, phase.alias("phase"), had_booted.alias("booted"))
 
 
-def _join_booted(marked: DataFrame, booted: DataFrame) -> DataFrame:
-    return join_counted(marked, booted, ["service", "probe"], "probe_rows", ["seq"], how="left").drop("probe_rows")
-
-
 def probe_phase(statuses: DataFrame, bootstrap_ms: int = BOOTSTRAP_TIMEOUT_MS) -> DataFrame:
     """Phase each service is in after its last status, and when each phase was first seen."""
     rows = label_phases(statuses, bootstrap_ms)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ordered import join_counted, rank_in_group
+from fleetlens.session import durable
 
 # fixed values: ordered container state codes
 STATE_INCOMPLETE, STATE_SUBMITTED, STATE_CREATED = 0, 1, 2
@@ -46,7 +47,7 @@ def container_summary(events: DataFrame) -> DataFrame:
         F.min(_at(ev == "SURPLUS")).alias("u"))
     seq, after = F.col("seq"), F.col("seq") > F.col("a")
     ended = (ev == "COMPLETED") & (seq > F.least("a", "u"))
-    joined = join_counted(rel, opened, ["container_id"], "rows", ["seq"])
+    joined = join_counted(rel, durable(opened), ["container_id"], "rows", ["seq"])
     firsts = joined.groupBy("container_id").agg(
         F.first("rows").alias("rows"), F.first("a").alias("a"), F.first("u").alias("u"),
         F.min(_at((ev == "STARTED") & after)).alias("s"),
@@ -99,13 +100,14 @@ def transitions(events: DataFrame, short_lived_ms: int = SHORT_LIVED_MS) -> Data
     RELEASED, SURPLUS_ENDED, FAILED, FAILED_SHORT, UNKNOWN or IGNORED. A completion is
     decided in the order released, surplus, failed, unknown; its exit code plays no part.
     A completion after the one that ended a failed container is a failure again, after
-    any other end it is unknown.
+    any other end it is unknown. ``gone`` marks the one event that ends an assigned
+    container.
     """
     ev, seq = F.col("event"), F.col("seq")
     rel = events.filter(ev.isin(*EVENTS))
     summary = container_summary(events).select(
         "container_id", "rows", "a", "u", "s", "f", "r", "e", "outcome", "start_ts")
-    j = join_counted(rel, summary, ["container_id"], "rows", ["seq"])
+    j = join_counted(rel, durable(summary), ["container_id"], "rows", ["seq"])
     kind = (
         F.when(seq == F.col("e"), F.col("outcome"))
         .when((seq > F.col("e")) & ((F.col("outcome") == "failed") | F.col("f").isNotNull()), "failed")
@@ -125,7 +127,8 @@ def transitions(events: DataFrame, short_lived_ms: int = SHORT_LIVED_MS) -> Data
     problem = F.when(effect == "START_ERROR", F.when(
         F.col("a").isNull() | (seq < F.col("a")) | F.coalesce(dead, F.lit(False)),
         "not an active container").otherwise("already started"))
-    return j.select(*events.columns, effect.alias("effect"), problem.alias("problem"),
+    gone = F.coalesce((seq == F.col("e")) & F.col("a").isNotNull(), F.lit(False))
+    return j.select(*events.columns, effect.alias("effect"), problem.alias("problem"), gone.alias("gone"),
                     F.when(ev == "COMPLETED", lived).alias("lived_ms"))
 
 
@@ -155,7 +158,7 @@ def role_counters(trans: DataFrame) -> DataFrame:
     failed = e.isin("FAILED", "FAILED_SHORT", "START_FAILED")
     return trans.groupBy("role_id").agg(
         F.count_if(e.isin("ASSIGNED", "SURPLUS")).alias("allocated"),
-        F.count_if(e == "ASSIGNED").alias("assigned"),
+        F.count_if(e == "ASSIGNED").alias("assigned"), F.count_if("gone").alias("ended"),
         F.count_if(e == "STARTED").alias("started"),
         F.count_if(e == "RELEASED").alias("completed"),
         F.count_if(failed).alias("failed"),
@@ -170,14 +173,12 @@ def role_statistics(events: DataFrame, roles: DataFrame) -> DataFrame:
     assignment to its first end.
     """
     counters = role_counters(transitions(events))
-    summary = container_summary(events).filter(F.col("a").isNotNull())
-    live = summary.groupBy("role_id").agg(F.count_if(F.col("e").isNull()).alias("live"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return roles.join(counters, "role_id", "left").join(live, "role_id", "left").select(
+    return roles.join(counters, "role_id", "left").select(
         "role_id",
         F.greatest(F.col("requested") - zero("allocated"), F.lit(0)).cast("long").alias("active_requests"),
         zero("completed").alias("completed"), F.col("desired").cast("long").alias("desired"),
-        zero("failed").alias("failed"), zero("live").alias("live"),
+        zero("failed").alias("failed"), (zero("assigned") - zero("ended")).alias("live"),
         F.col("requested").cast("long").alias("requested"), zero("started").alias("started"),
         zero("start_failed").alias("start_failed"))
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import contains_any_case, lines_with_ends, strip
+from fleetlens.functions.text import (
+    contains_any_case, first_lines, has_cr, last_lines, line_ends, lines_with_ends, plain_lines, strip)
 
 # fixed value: a terminal colour code
 COLOUR_CODE = r"\x1b\[[\d;]{1,4}m"
@@ -16,38 +17,61 @@ COLOUR_CODE = r"\x1b\[[\d;]{1,4}m"
 
 def log_lines(docs: DataFrame) -> DataFrame:
     """One row per line, numbered from 0, without line ends."""
-    lines = F.transform(lines_with_ends(strip(F.col("text"))), lambda p: F.btrim(p, F.lit("\r\n")))
-    return docs.select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode(plain_lines(strip(F.col("text")))).alias("line_no", "line"))
 
 
-def grep_text(text: Column, phrase: str, before: int, after: int) -> Column:
-    lines = lines_with_ends(strip(text))
-    hits = F.transform(lines, lambda p: contains_any_case(p, phrase))
-    hit = F.array_position(hits, F.lit(True)).cast("int")
+def _grep_mixed(whole: Column, phrase: str, before: int, after: int) -> Column:
+    lines = lines_with_ends(whole)
+    hit = F.array_position(F.transform(lines, lambda p: contains_any_case(p, phrase)), F.lit(True)).cast("int")
     begin = F.greatest(hit - before, F.lit(1))
-    return F.when(hit > 0, strip(F.array_join(F.slice(lines, begin, hit - begin + 1 + after), "")))
+    return F.when(hit > 0, F.array_join(F.slice(lines, begin, hit - begin + 1 + after), ""))
+
+
+def grep_text(text: Column, phrase: str, before: int, after: int) -> Column:
+    """Fragment of one text column; LF texts are cut by position, without an array of lines."""
+    whole = strip(text)
+    lower = F.lower(whole)
+    at = F.instr(lower, phrase.lower())
+    above = line_ends(F.substring(lower, F.lit(1), at - 1))
+    upto = first_lines(whole, above + 1 + after)
+    skipped = F.greatest(above - before, F.lit(0))
+    plain = last_lines(upto, line_ends(upto) + 1 - skipped)
+    found = F.when(at > 0, F.when(has_cr(whole), _grep_mixed(whole, phrase, before, after)).otherwise(plain))
+    return strip(found)
 
 
 def grep_context(docs: DataFrame, phrase: str, before: int, after: int) -> DataFrame:
-    """First line with the phrase, in any case, and the lines around it; null if none."""
+    """First line with the phrase, in any case, and the lines around it; null if none.
+
+    The phrase is part of one line, so it has no line end in it.
+    """
     return docs.select("doc_id", grep_text(F.col("text"), phrase, before, after).alias("fragment"))
 
 
-def tail_text(text: Column, n: int) -> Column:
-    whole = strip(text)
+def _tail_mixed(whole: Column, n: int) -> Column:
     lines = lines_with_ends(whole)
     return F.when(F.size(lines) <= n, whole).otherwise(
         F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n), ""))
 
 
+def tail_text(text: Column, n: int) -> Column:
+    whole = strip(text)
+    return F.when(has_cr(whole), _tail_mixed(whole, n)).otherwise(last_lines(whole, F.lit(n)))
+
+
 def tail_lines(docs: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` lines of each text."""
     return docs.select("doc_id", tail_text(F.col("text"), n).alias("tail"))
 
 
 def drop_lines(docs: DataFrame, template: str) -> DataFrame:
     """The text without the lines that contain ``template`` in any case."""
-    kept = F.filter(lines_with_ends(strip(F.col("text"))), lambda p: ~contains_any_case(p, template))
-    return docs.select("doc_id", strip(F.array_join(kept, "")).alias("text"))
+    whole = strip(F.col("text"))
+    keep = lambda p: ~contains_any_case(p, template)
+    mixed = F.array_join(F.filter(lines_with_ends(whole), keep), "")
+    plain = F.array_join(F.filter(F.split(whole, "\n"), keep), "\n")
+    return docs.select("doc_id", F.when(~contains_any_case(whole, template), whole).otherwise(
+        strip(F.when(has_cr(whole), mixed).otherwise(plain))).alias("text"))
 
 
 def without_markup(text: Column) -> Column:

@@ -20,14 +20,19 @@ STATISTIC_KEYS = {
 }
 
 
-def status_by_role(state: DataFrame, stats: DataFrame, roles: DataFrame) -> DataFrame:
-    """Flat status: the instance count and six counters of each role."""
+def _role_rows(state: DataFrame, stats: DataFrame, roles: DataFrame) -> DataFrame:
     running = state.filter(F.col("state") <= STATE_LIVE).groupBy("role_id").agg(
         F.count("*").alias("actual"), F.count_if("released").alias("releasing"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return roles.select("role_id", "name").join(stats, "role_id").join(running, "role_id", "left").select(
-        "role_id", "name", "desired", zero("actual").alias("actual"),
-        F.col("active_requests").alias("requested"), zero("releasing").alias("releasing"), "failed", "start_failed")
+    return roles.select("role_id", "name").join(stats, "role_id").join(running, "role_id", "left").withColumns(
+        {"actual": zero("actual"), "releasing": zero("releasing")})
+
+
+def status_by_role(state: DataFrame, stats: DataFrame, roles: DataFrame) -> DataFrame:
+    """Flat status: the instance count and six counters of each role."""
+    return _role_rows(state, stats, roles).select(
+        "role_id", "name", "desired", "actual", F.col("active_requests").alias("requested"), "releasing",
+        "failed", "start_failed")
 
 
 def status_document(state: DataFrame, stats: DataFrame, roles: DataFrame, info: dict[str, str] | None = None,
@@ -36,13 +41,11 @@ def status_document(state: DataFrame, stats: DataFrame, roles: DataFrame, info:
 
     Instances are paged so that one large role does not have to fit into one document.
     """
-    flat = status_by_role(state, stats, roles)
-    statistics = F.create_map(*[x for c, k in STATISTIC_KEYS.items() for x in (F.lit(k), F.col(f"st.{c}"))])
+    statistics = F.create_map(*[x for c, k in STATISTIC_KEYS.items() for x in (F.lit(k), F.col(c))])
     pages = instances_by_role(state.filter(F.col("state") <= STATE_LIVE), page)
-    heads = flat.alias("f").join(stats.alias("st"), "role_id").select(
-        "role_id", F.lit(0).cast("long").alias("page"), F.struct(
-            "f.name", "f.desired", "f.actual", "f.requested", "f.releasing", "f.failed", "f.start_failed",
-            statistics.alias("statistics")).alias("role"))
+    heads = _role_rows(state, stats, roles).select("role_id", F.lit(0).cast("long").alias("page"), F.struct(
+        "name", "desired", "actual", F.col("active_requests").alias("requested"), "releasing", "failed",
+        "start_failed", statistics.alias("statistics")).alias("role"))
     extra = F.create_map(*[F.lit(x) for kv in (info or {}).items() for x in kv]).cast("map<string,string>")
     return heads.join(pages, ["role_id", "page"], "full").select(
         "role_id", "page", F.to_json(F.struct("role", F.col("container_ids").alias("instances"),

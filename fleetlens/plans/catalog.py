@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import agents, config, health, lifecycle, logs, placement, registry, status
 from fleetlens.plans import views as v
 from fleetlens.plans.views import BOOT_MS, SHORT_MS, with_views
+from fleetlens.session import durable
 from fleetlens.sources import heartbeats, history
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +55,8 @@ SCALE = """
 
 @query("scale_plan", with_views("placement roles free copies chosen", SCALE, recursive=True))
 def scale_plan(spark, d):
-    return lifecycle.scale_plan(v.roles(spark, d), v.placement(spark, d))
+    cells = durable(v.placement(spark, d))
+    return lifecycle.scale_plan(v.roles(spark, d, cells), cells)
 
 
 @query("available_cells", with_views("placement free", "SELECT * FROM free"))
@@ -74,7 +76,8 @@ def _(spark, d):
     slots AS (SELECT role_id, unnest(range(1, k + 1)) AS slot FROM demand)
     SELECT role_id, slot, host FROM slots LEFT JOIN ranked USING (role_id, slot)""", recursive=True))
 def _(spark, d):
-    return placement.pick_hosts(v.placement(spark, d), v.demand(spark, d))
+    cells = durable(v.placement(spark, d))
+    return placement.pick_hosts(cells, v.demand(spark, d, cells))
 
 
 @query("busiest_hosts", with_views("placement", """
@@ -119,8 +122,8 @@ SETTLED = """
     FROM located l"""
 
 
-def settled(spark, d):
-    return placement.settle_requests(v.requests(spark, d), v.offers(spark, d), v.roles(spark, d))
+def settled(spark, d, cells=None):
+    return placement.settle_requests(v.requests(spark, d), v.offers(spark, d), v.roles(spark, d, cells))
 
 
 @query("settle_requests", with_views("placement roles requests located offers", SETTLED))
@@ -134,7 +137,8 @@ def _(spark, d):
     SELECT role_id, host, last_used, row_number() OVER (PARTITION BY role_id ORDER BY last_used DESC, host) AS recency
     FROM pool JOIN placement USING (role_id, host)""", recursive=True))
 def _(spark, d):
-    return placement.returned_hosts(settled(spark, d), v.placement(spark, d))
+    cells = durable(v.placement(spark, d))
+    return placement.returned_hosts(settled(spark, d, cells), cells)
 
 
 @query("cluster_size", "SELECT count(DISTINCT l_partkey) AS hosts FROM lineitem")
@@ -315,7 +319,8 @@ def _(spark, d):
            CASE WHEN actual + position <= desired THEN 'assigned' ELSE 'surplus' END AS decision
     FROM ranked JOIN roles USING (role_id)""", recursive=True))
 def _(spark, d):
-    return lifecycle.admit_allocations(v.offers(spark, d), v.roles(spark, d), v.requests(spark, d), v.placement(spark, d))
+    cells = durable(v.placement(spark, d))
+    return lifecycle.admit_allocations(v.offers(spark, d), v.roles(spark, d, cells), v.requests(spark, d), cells)
 
 
 @query("rebuild_from_live", with_views("containers", """
@@ -383,7 +388,7 @@ def _(spark, d):
 
 @query("status_document")
 def _(spark, d):
-    return status.status_document(state(spark, d), stats(spark, d), v.lifecycle_roles(spark, d), {"status": "live"})
+    return status.status_document(durable(state(spark, d)), stats(spark, d), v.lifecycle_roles(spark, d), {"status": "live"})
 
 
 def dimension_roles(spark, d):

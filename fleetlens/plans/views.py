@@ -238,9 +238,9 @@ def placement(spark: SparkSession, sf_dir: str, host: str = "l_partkey") -> Data
         F.max("l_shipdate").alias("last_used"))
 
 
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def roles(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
     """Odd roles are short of instances, even ones have too many."""
-    sums = placement(spark, sf_dir).groupBy("role_id").agg(
+    sums = (placement(spark, sf_dir) if cells is None else cells).groupBy("role_id").agg(
         F.sum("live").alias("actual"), F.sum("releasing").alias("releasing"), F.sum("requested").alias("requested"))
     role = F.col("role_id")
     return sums.select(
@@ -276,8 +276,8 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("host")).agg(F.max(F.col("l_returnflag") == "R").alias("releasing"))
 
 
-def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles(spark, sf_dir).select("role_id", (F.col("role_id") * 40).cast("long").alias("k"), "policy")
+def demand(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    return roles(spark, sf_dir, cells).select("role_id", (F.col("role_id") * 40).cast("long").alias("k"), "policy")
 
 
 PLACEMENT = {
