@@ -25,6 +25,16 @@ POS = "_pos"
 SEG = "_seg"
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 HOT_ROWS = 2_000_000
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table when it is known to be small, else leave the join to Spark.
+
+    Counting a written table is cheap; deciding before the join starts saves the shuffle
+    of the large side that Spark would otherwise begin before it knows the small one.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def order_segments(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -42,12 +52,12 @@ def order_segments(df: DataFrame, group: Sequence[str], order: Sequence[Column])
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe equal keys; the key columns of ``left`` stay."""
+    """Inner join of a written table on null-safe equal keys; the key columns of ``left`` stay."""
     named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(named, cond).drop(*[f"_k_{k}" for k in keys])
+    return left.join(broadcast_if_small(named), cond).drop(*[f"_k_{k}" for k in keys])
 
 
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
@@ -61,7 +71,7 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         *group, SEG,
         (F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_base"),
     )
-    out = attach(laid, base, [*group, SEG])
+    out = attach(laid, durable(base), [*group, SEG])
     return out.select(*df.columns, (F.col(POS) - F.col("_base") + 1).cast("long").alias(name))
 
 
@@ -115,7 +125,7 @@ def clamped_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         for t in deltas})
     starts = runs.select(*group, SEG, *[
         F.coalesce(F.lag(f"_end_{t}").over(before), F.lit(0)).alias(f"_start_{t}") for t in deltas])
-    out = attach(walk, starts, [*group, SEG])
+    out = attach(walk, durable(starts), [*group, SEG])
     return out.select(
         *df.columns,
         *[(F.col(f"_s_{t}") + F.greatest(f"_start_{t}", f"_low_{t}")).cast("long").alias(t) for t in deltas])
@@ -145,15 +155,18 @@ def first_k_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 
 def join_counted(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: str,
-                 spread: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+                 spread: Sequence[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """Join many rows to one row per key when some keys may be very large.
 
     ``small`` is a written table (see ``session.durable``) and ``small[rows]`` the number
-    of ``big`` rows of its key. Without a key above ``hot_rows`` this is an ordinary join.
-    Otherwise the rows of hot keys are dealt over as many shares as they need, and the
+    of ``big`` rows of its key. A small table is broadcast. Without a key above
+    ``hot_rows`` this is an ordinary join. Otherwise the rows of hot keys are dealt over as many shares as they need, and the
     small row is copied to each share. There are at most ``total rows / hot_rows`` hot
     keys, which is what makes their list safe to broadcast.
     """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), list(keys), how)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     shares = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
     hot = small.filter(F.col(rows) > hot_rows).select(*keys, shares.alias("_shares"))
     if hot.isEmpty():

@@ -27,25 +27,21 @@ def _grep_mixed(whole: Column, phrase: str, before: int, after: int) -> Column:
     return F.when(hit > 0, F.array_join(F.slice(lines, begin, hit - begin + 1 + after), ""))
 
 
-def grep_text(text: Column, phrase: str, before: int, after: int) -> Column:
-    """Fragment of one text column; LF texts are cut by position, without an array of lines."""
-    whole = strip(text)
-    lower = F.lower(whole)
-    at = F.instr(lower, phrase.lower())
-    above = line_ends(F.substring(lower, F.lit(1), at - 1))
-    upto = first_lines(whole, above + 1 + after)
-    skipped = F.greatest(above - before, F.lit(0))
-    plain = last_lines(upto, line_ends(upto) + 1 - skipped)
-    found = F.when(at > 0, F.when(has_cr(whole), _grep_mixed(whole, phrase, before, after)).otherwise(plain))
-    return strip(found)
-
-
 def grep_context(docs: DataFrame, phrase: str, before: int, after: int) -> DataFrame:
     """First line with the phrase, in any case, and the lines around it; null if none.
 
-    The phrase is part of one line, so it has no line end in it.
+    The phrase is part of one line, so it has no line end in it. LF texts are cut by
+    position, without an array of lines. Done in steps so that each intermediate text
+    is made once.
     """
-    return docs.select("doc_id", grep_text(F.col("text"), phrase, before, after).alias("fragment"))
+    found = docs.select("doc_id", strip(F.col("text")).alias("w")).withColumn("l", F.lower("w")).withColumn(
+        "at", F.instr("l", phrase.lower()))
+    found = found.withColumn("above", F.when(F.col("at") > 0, line_ends(F.substring("l", F.lit(1), F.col("at") - 1))))
+    found = found.withColumn("upto", first_lines(F.col("w"), F.col("above") + 1 + after))
+    skipped = F.greatest(F.col("above") - before, F.lit(0))
+    plain = last_lines(F.col("upto"), line_ends(F.col("upto")) + 1 - skipped)
+    hit = F.when(has_cr(F.col("w")), _grep_mixed(F.col("w"), phrase, before, after)).otherwise(plain)
+    return found.select("doc_id", strip(F.when(F.col("at") > 0, hit)).alias("fragment"))
 
 
 def _tail_mixed(whole: Column, n: int) -> Column:

@@ -17,6 +17,8 @@ from fleetlens.functions.ordered import clamped_totals, first_k_in_group, rank_i
 EXCLUDE_FROM_FLEXING = 1
 NO_LOCALITY = 2
 
+SLOT_BLOCK = 100_000
+
 
 def active() -> Column:
     """Instances of a cell that could be released."""
@@ -94,7 +96,12 @@ def pick_hosts(cells: DataFrame, demand: DataFrame) -> DataFrame:
     ranked = recency_rank(
         available_cells(cells).join(located, "role_id", "left_semi").select("role_id", "host", "last_used"),
         "slot")
-    slots = wanted.select("role_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long"))).alias("slot"))
+    # slots are dealt out in blocks, so that a role asking for very many is not one task
+    k, block = F.col("k").cast("long"), F.col("_block")
+    blocks = wanted.select("role_id", k.alias("k"), F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((k - 1) / SLOT_BLOCK))).alias("_block")).repartition("role_id", "_block")
+    slots = blocks.select("role_id", F.explode(F.sequence(
+        block * SLOT_BLOCK + 1, F.least(F.col("k"), (block + 1) * SLOT_BLOCK))).alias("slot"))
     return slots.join(ranked.select("role_id", "slot", "host"), ["role_id", "slot"], "left").select(
         "role_id", "slot", "host")
 
@@ -215,12 +222,14 @@ def cluster_size(cells: DataFrame, approximate: bool = False) -> DataFrame:
 def containers_to_release(containers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Name a container for every chosen (role, host) copy, each container once.
 
-    Containers already being released are not used. Copies without a container left
-    have a null id, which the caller should treat as an inconsistency.
+    The chosen copies of a host are numbered 1, 2, ... without a gap: its last copy is
+    only reached when all others are taken. Containers already being released are not
+    used. Copies without a container left have a null id, which the caller should treat
+    as an inconsistency.
     """
-    free = containers.filter(~F.col("releasing")).select("role_id", "host", "container_id")
+    chosen = candidates.select("role_id", "host", "copy", "rank")
+    free = containers.filter(~F.col("releasing")).select("role_id", "host", "container_id").join(
+        chosen.select("role_id", "host"), ["role_id", "host"], "left_semi")
     named = rank_in_group(free, ["role_id", "host"], [F.col("container_id").asc()], "copy")
-    chosen = rank_in_group(candidates.select("role_id", "host", "rank"), ["role_id", "host"],
-                           [F.col("rank").asc()], "copy")
     return chosen.join(named, ["role_id", "host", "copy"], "left").select(
         "role_id", "rank", "host", "container_id")

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores="4", shuffle_partitions=4, memory="4g")
+    session = local_session(cores="8", shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

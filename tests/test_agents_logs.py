@@ -207,6 +207,7 @@ def test_phases_ignore_hot_limit(spark, monkeypatch):
     df = probes(spark, *[[("d", 0, i > 1), ("m", i % 3, i % 4 != 3)] for i in range(40)])
     want = phases(df)
     real = ordered.join_counted
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(h, "join_counted", lambda *x, **k: real(*x, **{**k, "hot_rows": 3}))
     assert phases(df) == want
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetlens.functions import ordered
 from fleetlens.functions.ordered import (
     clamped_totals, first_k_in_group, join_counted, previous_in_group, rank_in_group)
 
@@ -47,7 +48,9 @@ def test_hot_group_is_spread(spark, skewed):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_rank_over_several_partitions(spark, skewed):
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_over_several_partitions(spark, skewed, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", limit)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         same(rank_in_group(skewed, ["g"], order()), skewed.withColumn("rank", F.row_number().over(win())))
@@ -74,8 +77,9 @@ def test_first_k(skewed, k):
          skewed.withColumn("rank", F.row_number().over(win())).filter(F.col("rank") <= k))
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_counted_deals_hot_keys(skewed, how):
+@pytest.mark.parametrize("how, limit", [("inner", 0), ("left", 0), ("left", 1000)])
+def test_join_counted_deals_hot_keys(skewed, how, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", limit)
     big = skewed.filter("g is not null")
     small = big.filter("g <> 3").groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     got = join_counted(big, small, ["g"], "n", ["id"], how, hot_rows=500)
