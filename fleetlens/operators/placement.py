@@ -127,15 +127,20 @@ def _copies(cells: DataFrame, limit: Column, keep: tuple[str, ...] = ()) -> Data
     in phase 1 when the host had only one and in phase 2 otherwise. A host never needs
     more than ``limit`` phase-0 rows because they would already fill the answer.
     """
-    act = F.col("active")
+    act, block = F.col("active"), F.col("_block")
+    busy = cells.withColumn("active", active()).filter((F.col("active") > 0) & (limit > 0)).withColumn(
+        "_above", F.least(F.col("active") - 1, limit.cast("long")))
+    # a host with very many instances is unrolled block by block, never as one long array
+    blocks = busy.select("role_id", "host", "active", "_above", *keep, F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest(F.floor((F.col("_above") - 1) / SLOT_BLOCK), F.lit(0)))).alias("_block"))
     shape = "array<struct<phase:int,copy:bigint>>"
-    above = F.when(act > 1, F.transform(
-        F.sequence(F.lit(1).cast("long"), F.least(act - 1, limit.cast("long"))),
-        lambda i: F.struct(F.lit(0).alias("phase"), i.alias("copy")))).otherwise(F.array().cast(shape))
-    last = F.array(F.struct(F.when(act > 1, 2).otherwise(1).alias("phase"), act.alias("copy")))
-    busy = cells.withColumn("active", active()).filter((F.col("active") > 0) & (limit > 0))
-    return busy.select(
-        "role_id", "host", "active", *keep, F.inline(F.concat(above.cast(shape), last.cast(shape))))
+    none = F.array().cast(shape)
+    above = F.when(F.col("_above") > 0, F.transform(
+        F.sequence(block * SLOT_BLOCK + 1, F.least(F.col("_above"), (block + 1) * SLOT_BLOCK)),
+        lambda i: F.struct(F.lit(0).alias("phase"), i.alias("copy"))).cast(shape)).otherwise(none)
+    last = F.when(block == 0, F.array(F.struct(
+        F.when(act > 1, 2).otherwise(1).alias("phase"), act.alias("copy"))).cast(shape)).otherwise(none)
+    return blocks.select("role_id", "host", "active", *keep, F.inline(F.concat(above, last)))
 
 
 def _release_order() -> list[Column]:

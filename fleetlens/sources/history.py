@@ -43,8 +43,8 @@ def history_snapshot(cells: DataFrame, saved_ms: int) -> DataFrame:
 
 
 def write_history(records: DataFrame, folder: str) -> None:
-    """Append snapshots; only the partitions of these snapshots are written."""
-    records.write.mode("append").partitionBy("saved").parquet(folder)
+    """Save snapshots; only their own partitions are written, so saving again replaces them."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("saved").parquet(folder)
 
 
 def read_history(spark: SparkSession, folder: str) -> DataFrame:

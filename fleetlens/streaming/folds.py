@@ -107,7 +107,7 @@ class ContainerFold(OrderedFold):
     row_schema = "event string,role_id int,host bigint,seq bigint,at_ms bigint"
     memory_schema = ("allocated boolean,surplus boolean,started_ms bigint,start_failed boolean,"
                      "releasing boolean,outcome string")
-    output_schema = "container_id string,role_id int,host bigint,seq bigint,at_ms bigint,effect string"
+    output_schema = "container_id string,role_id int,host bigint,seq bigint,at_ms bigint,effect string,gone boolean"
 
     def __init__(self, short_lived_ms: int):
         self.short_lived_ms = short_lived_ms
@@ -118,7 +118,7 @@ class ContainerFold(OrderedFold):
 
     def step(self, m: dict, row: dict) -> list[dict]:
         event, active = row["event"], m["allocated"] and m["outcome"] is None and not m["start_failed"]
-        effect = "IGNORED"
+        effect, gone = "IGNORED", False
         if event == "ALLOCATED" and not m["allocated"]:
             m["allocated"], effect = True, "ASSIGNED"
         elif event == "SURPLUS" and not m["surplus"]:
@@ -134,8 +134,10 @@ class ContainerFold(OrderedFold):
             if active and not m["releasing"]:
                 m["releasing"], effect = True, "RELEASING"
         elif event == "COMPLETED":
+            before = m["outcome"]
             effect = self._complete(m, row["at_ms"])
-        return [{**row, "effect": effect}]
+            gone = m["allocated"] and before is None and m["outcome"] is not None
+        return [{**row, "effect": effect, "gone": gone}]
 
     def _complete(self, m: dict, at_ms: int) -> str:
         if m["outcome"] is None and (m["allocated"] or m["surplus"]):
@@ -152,18 +154,21 @@ class ContainerFold(OrderedFold):
 
 
 class CellFold(OrderedFold):
-    """Counters of one (role_id, host) cell, as in ``placement.placement_cells``."""
+    """Counters of one (role_id, host) cell, as in ``placement.placement_cells``.
+
+    ``seq`` is the last transition counted; the row with the highest one is the newest.
+    """
 
     key_schema = "role_id int,host bigint"
     row_schema = "effect string,seq bigint,at_ms bigint"
     memory_schema = ("starting bigint,start_failed bigint,failed bigint,live bigint,releasing bigint,"
-                     "last_used_ms bigint,moved boolean")
+                     "last_used_ms bigint,seq bigint,moved boolean")
     output_schema = ("role_id int,host bigint,starting bigint,start_failed bigint,failed bigint,live bigint,"
-                     "releasing bigint,last_used_ms bigint")
+                     "releasing bigint,last_used_ms bigint,seq bigint")
 
     def start(self) -> dict:
         return {"starting": 0, "start_failed": 0, "failed": 0, "live": 0, "releasing": 0,
-                "last_used_ms": None, "moved": False}
+                "last_used_ms": None, "seq": None, "moved": False}
 
     def step(self, m: dict, row: dict) -> list[dict]:
         def add(name: str, by: int) -> None:
@@ -189,7 +194,7 @@ class CellFold(OrderedFold):
                 m["last_used_ms"] = row["at_ms"]
         else:
             return []
-        m["moved"] = True
+        m["seq"], m["moved"] = row["seq"], True
         return []
 
     def settle(self, m: dict, now: int) -> list[dict]:
@@ -314,31 +319,43 @@ class PhaseFold(OrderedFold):
 class ReportDrain(StatefulProcessor):
     """Newest report of each task, sent with every trigger that has one.
 
-    A finished or status report is sent once and forgotten, a running one stays and a
-    report older than the one held is dropped.
+    A finished or status report is sent once and forgotten. A running one stays and is
+    sent again every ``resend_ms`` until something newer comes. A report older than the
+    one held is dropped.
     """
 
-    memory_schema = "seq bigint,running boolean"
-    columns = ["seq", "command_type", "status", "exit_code", "stdout"]
-    output_schema = "task_id bigint,seq bigint,command_type string,status string,exit_code int,stdout string"
+    memory_schema = "seq bigint,command_type string,status string,exit_code int,stdout string"
+    columns = [n for n, _ in _fields(memory_schema)]
+    output_schema = "task_id bigint," + memory_schema
+
+    def __init__(self, resend_ms: int | None = None):
+        self.resend_ms = resend_ms
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.held = handle.getValueState("held", self.memory_schema)
 
+    def _send(self, key, report: tuple) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], *report]], columns=["task_id", *self.columns]).astype(object)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for pdf in rows:
-            top = pdf.loc[pdf["seq"].idxmax()]
-            if newest is None or top["seq"] > newest["seq"]:
-                newest = top
-        if self.held.exists() and self.held.get()[0] >= newest["seq"]:
+        tops = [pdf.loc[pdf["seq"].idxmax()] for pdf in rows]
+        top = max(tops, key=lambda r: r["seq"])
+        report = tuple(None if pd.isna(top[n]) else cast(top[n]) for n, cast in _fields(self.memory_schema))
+        if self.held.exists() and self.held.get()[0] >= report[0]:
             return
-        running = newest["command_type"] == "EXECUTION" and newest["status"] == "IN_PROGRESS"
-        if running:
-            self.held.update((int(newest["seq"]), True))
+        if report[1] == "EXECUTION" and report[2] == "IN_PROGRESS":
+            if self.resend_ms and not self.held.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
+            self.held.update(report)
         else:
             self.held.clear()
-        yield pd.DataFrame([[key[0], *[newest[c] for c in self.columns]]], columns=["task_id", *self.columns])
+        yield self._send(key, report)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
+            yield self._send(key, self.held.get())
 
     def close(self) -> None:
         pass

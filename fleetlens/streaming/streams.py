@@ -65,12 +65,16 @@ def stream_phases(statuses: DataFrame, bootstrap_ms: int, has_dependencies: bool
                  PhaseFold(bootstrap_ms, has_dependencies), "Append")
 
 
-def stream_drain(reports: DataFrame) -> DataFrame:
-    """Reports to send with each trigger, shaped as by ``agents.drain_reports``."""
-    drain = ReportDrain()
+def stream_drain(reports: DataFrame, resend_ms: int | None = None) -> DataFrame:
+    """Reports to send with each trigger, shaped as by ``agents.drain_reports``.
+
+    With ``resend_ms`` running tasks are reported again at that interval.
+    """
+    drain = ReportDrain(resend_ms)
     sent = reports.filter(F.col("command_type").isin("EXECUTION", "STATUS")).groupBy(
         "task_id").transformWithStateInPandas(
-        statefulProcessor=drain, outputStructType=drain.output_schema, outputMode="Append", timeMode="None")
+        statefulProcessor=drain, outputStructType=drain.output_schema, outputMode="Append",
+        timeMode="ProcessingTime" if resend_ms else "None")
     execution = F.col("command_type") == "EXECUTION"
     running = execution & (F.col("status") == "IN_PROGRESS")
     return sent.select(
