@@ -27,7 +27,7 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     exit_code = (F.floor("value") % 3).cast("int")
     return e.select(
-        F.concat(text("user_id"), F.lit("#"), F.date_format("ts", "yyyy-MM-dd")).alias("container_id"),
+        F.concat(text("user_id"), F.lit("#"), text(F.to_date("ts"))).alias("container_id"),
         (F.col("user_id") % 5).cast("int").alias("role_id"), (F.col("user_id") % 20).alias("host"),
         F.when((kind == "signup") & (value < 4), "SURPLUS").when(kind == "signup", "ALLOCATED")
         .when((kind == "view") & (value < 4), "START_FAILED").when(kind == "view", "STARTED")
@@ -117,7 +117,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
-        F.concat(text("user_id"), F.lit("___"), F.date_format("ts", "yyyy-MM-dd")).alias("label"),
+        F.concat(text("user_id"), F.lit("___"), text(F.to_date("ts"))).alias("label"),
         F.col("event_id").alias("seq"), F.when(kind.isin("signup", "purchase"), "issue").otherwise("result").alias("kind"),
         F.when(kind == "signup", "INSTALL").when(kind == "purchase", "START").alias("command"),
         F.when(kind == "view", "COMPLETED").when(kind == "click", "IN_PROGRESS").when(kind == "error", "FAILED").alias("result"))
