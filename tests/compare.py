@@ -65,7 +65,7 @@ def difference(spark_df, con, sql: str) -> str | None:
 
 
 def main(argv: list[str]) -> int:
-    from fleetlens.plans.catalog import QUERIES
+    from __spark_entry__ import ALL as QUERIES
     from fleetlens.session import local_session
 
     sf = argv[0] if argv else "sf0.01"
