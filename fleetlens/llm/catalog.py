@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import url_filters
+from fleetlens.llm import near_dup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -42,3 +42,8 @@ m AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY le
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)""")
 def _(spark, d):
     return url_filters.judge_urls(table(spark, d, "pages"), url_filters.rule_table(spark, URL_RULES))
+
+
+@query("op2_minhash_near_dedup")
+def _(spark, d):
+    return near_dup.near_duplicates(table(spark, d, "documents"), size=3, percent=85)
