@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import near_dup, url_filters
+from fleetlens.llm import near_dup, secrets, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -47,3 +48,13 @@ def _(spark, d):
 @query("op2_minhash_near_dedup")
 def _(spark, d):
     return near_dup.near_duplicates(table(spark, d, "documents"), size=3, percent=85)
+
+
+@query("op8_secret_scans")
+def _(spark, d):
+    found = secrets.find_secrets(table(spark, d, "documents"))
+    spans, base = F.col("secret_spans"), F.filter("secret_spans", lambda s: s.kind < secrets.BASE)
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(spans, n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.RULES[:secrets.BASE])],
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(spans).alias("spans"))
