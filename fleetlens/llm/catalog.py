@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import near_dup, secrets, url_filters
+from fleetlens.llm import near_dup, packing, secrets, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -58,3 +59,8 @@ def _(spark, d):
         "doc_id",
         *[secrets.count_kind(spans, n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.RULES[:secrets.BASE])],
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(spans).alias("spans"))
+
+
+@query("op10_packing")
+def _(spark, d):
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
