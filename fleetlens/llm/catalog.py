@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import near_dup, packing, secrets, url_filters
+from fleetlens.llm import decontaminate, near_dup, packing, secrets, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -64,3 +64,8 @@ def _(spark, d):
 @query("op10_packing")
 def _(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+@query("op4_benchmark_decontamination")
+def _(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
