@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, near_dup, packing, secrets, url_filters
+from fleetlens.llm import decontaminate, near_dup, packing, quality_rules, secrets, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -69,3 +69,8 @@ def _(spark, d):
 @query("op4_benchmark_decontamination")
 def _(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
+
+
+@query("op3_quality_rules")
+def _(spark, d):
+    return quality_rules.quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
