@@ -2,7 +2,7 @@
 
 A seed mask looks at six of up to nine neighbouring words and ignores the others. The three masks together hit
 every aligned stretch of twelve words in which at most two differ. Seed hashes of the documents
-that may occur in the benchmark (a bit table of fixed size, see ``MAX_BITS``) are kept with the
+that may occur in the benchmark (a bit table of fixed size, see ``tables.bit_table``) are kept with the
 words around them, joined with the benchmark's seed hashes, and each hit is verified by counting
 equal words in windows along its diagonal.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import arrow_map
+from fleetlens.llm.tables import arrow_map, bit_table, in_bits
 from fleetlens.llm.words import find_words, mix, slices, text_bytes
 from fleetlens.session import durable
 
@@ -24,7 +24,6 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5))
 WINDOW, EQUAL = 12, 10   # a window of twelve words counts with ten equal ones
 LEAST = 5                # items of 5 to 11 words must occur whole; shorter ones are never matched
 MARGIN = 24              # words kept around hits
-MAX_BITS = 1 << 27       # 16 MB of bits, whatever the size of the benchmark
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _PLAIN = np.arange(256, dtype=np.uint8)  # letters and digits stay, other ASCII signs part words
@@ -79,8 +78,6 @@ def _item_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _regions(bits: np.ndarray, masks: list[tuple[int, ...]]):
     """Rows (doc_id, text_hash, region start, words, hit places, hit seeds)."""
-    low = np.uint64(len(bits) * 64 - 1)
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         buf, at = text_bytes(batch.column(2))
         ids, hashes = batch.column(0), batch.column(1)
@@ -92,8 +89,7 @@ def _regions(bits: np.ndarray, masks: list[tuple[int, ...]]):
             found = []
             for mask in masks:
                 h = seed_hashes(w.hash, mask)
-                slot = h & low
-                may = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                may = np.flatnonzero(in_bits(bits, h))
                 doc = np.searchsorted(w.first, may, "right") - 1
                 inside = may + mask[-1] < w.first[doc + 1]  # within one text
                 found.append((may[inside], doc[inside], h[may[inside]]))
@@ -159,18 +155,6 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch | None:
                                       ["doc_id", "text_hash", "item_id", "first_word", "end_word", "n_equal"])
 
 
-def _bit_table(seeds: DataFrame) -> np.ndarray:
-    n = seeds.count()
-    size = min(MAX_BITS, 1 << max(16, (64 * n).bit_length()))
-    slot = F.col("seed").bitwiseAND(F.lit(size - 1))
-    words = (seeds.groupBy(F.shiftright(slot, 6).alias("at"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 AS int))")).alias("bits")).collect())  # at most MAX_BITS / 64 rows
-    bits = np.zeros(size // 64, np.uint64)
-    for r in words:
-        bits[r["at"]] = r["bits"] & (2**64 - 1)
-    return bits
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, text_hash, item_id, n_equal, first_word, end_word`` for each document and item that overlap.
 
@@ -187,7 +171,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     .withColumn("item", F.monotonically_increasing_id()))
     short = [r[0] for r in items.select(F.size("words").alias("n")).filter(F.col("n").between(LEAST, WINDOW - 1)).distinct().collect()]
     seeds = durable(arrow_map(items.select("item", "words"), _item_seeds, "item long, item_pos long, seed long"))
-    bits = _bit_table(seeds)
+    bits = bit_table(seeds, "seed")
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     regions = durable(arrow_map(docs, _regions(bits, _masks_for(sorted(short))),
                                 "doc_id long, text_hash long, begin long, words array<long>, hits array<long>, seeds array<long>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +53,28 @@ def components(edges: DataFrame) -> DataFrame:
     # stable edges form stars around the smallest node
     return nodes.join(edges.withColumnsRenamed({"a": "node", "b": "m"}), "node", "left").select(
         "node", F.coalesce("m", "node").alias("component"))
+
+
+MAX_BITS = 1 << 27  # 16 MB, however many values there are
+
+
+def bit_table(values: DataFrame, column: str, max_bits: int = MAX_BITS) -> np.ndarray:
+    """A table of bits in which the low bits of every value (long) are set.
+
+    It only saves work: a value that is not found cannot be among ``values``, one that is found
+    may be. Its size is bounded, so the driver holds at most ``max_bits`` bits; very many values
+    merely let more through.
+    """
+    n = values.count()
+    size = min(max_bits, 1 << max(16, (32 * n).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit(size - 1))
+    one = F.expr(f"shiftleft(1L, cast(`{column}` & 63L AS int))")
+    words = values.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values & np.uint64(len(bits) * 64 - 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
