@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, near_dup, packing, quality_rules, secrets, substring_dedup, url_filters
+from fleetlens.llm import decontaminate, near_dup, packing, quality_model, quality_rules, secrets, substring_dedup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -79,3 +79,8 @@ def _(spark, d):
 @query("op5_substring_dedup")
 def _(spark, d):
     return substring_dedup.remove_repeats(table(spark, d, "documents"), window=35, with_text=False).drop("kept_text")
+
+
+@query("op7_quality_classifier")
+def _(spark, d):
+    return quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
