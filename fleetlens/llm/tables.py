@@ -55,26 +55,30 @@ def components(edges: DataFrame) -> DataFrame:
         "node", F.coalesce("m", "node").alias("component"))
 
 
-MAX_BITS = 1 << 27  # 16 MB, however many values there are
+MAX_BITS = 1 << 27   # 16 MB, however many values there are
+PROBES = (0, 19, 37)  # three parts of a 64-bit hash
 
 
-def bit_table(values: DataFrame, column: str, max_bits: int = MAX_BITS) -> np.ndarray:
-    """A table of bits in which the low bits of every value (long) are set.
+def bit_table(hashes: DataFrame, column: str, max_bits: int = MAX_BITS) -> np.ndarray:
+    """A table of bits with three bits set for every hash (long), a Bloom filter.
 
-    It only saves work: a value that is not found cannot be among ``values``, one that is found
+    It only saves work: a value that is not found cannot be among ``hashes``, one that is found
     may be. Its size is bounded, so the driver holds at most ``max_bits`` bits; very many values
     merely let more through.
     """
-    n = values.count()
-    size = min(max_bits, 1 << max(16, (32 * n).bit_length()))
-    slot = F.col(column).bitwiseAND(F.lit(size - 1))
-    one = F.expr(f"shiftleft(1L, cast(`{column}` & 63L AS int))")
-    words = values.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    n = hashes.count()
+    size = min(max_bits, 1 << max(16, (64 * n).bit_length()))
+    slot = F.explode(F.array(*[F.shiftrightunsigned(F.col(column), p).bitwiseAND(F.lit(size - 1)) for p in PROBES]))
+    words = (hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63L AS int))")).alias("bits")).toArrow())
     bits = np.zeros(size // 64, np.uint64)
     bits[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bits
 
 
-def in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values & np.uint64(len(bits) * 64 - 1)
-    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for p in PROBES:
+        slot = (hashes >> np.uint64(p)) & np.uint64(len(bits) * 64 - 1)
+        found &= ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return found
