@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import arrow_map, bit_table, in_bits
+from fleetlens.llm.tables import arrow_map, bit_table, in_bits, without_rows
 from fleetlens.llm.words import find_words, mix, slices, text_bytes
 from fleetlens.session import durable
 
@@ -193,7 +193,4 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows that overlap with a benchmark item; all columns stay."""
-    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_"})
-    left = docs.join(found, docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
-    return left.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
+    return without_rows(documents, contaminated(documents, benchmark))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import arrow_map, components
+from fleetlens.llm.tables import arrow_map, components, without_rows
 from fleetlens.llm.words import find_words, mix, slices, text_bytes
 from fleetlens.session import durable
 
@@ -84,7 +84,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def _signed(size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        buf, at = text_bytes(batch.column(1))
+        buf, at = text_bytes(batch.column("text"))
         n, keys, sigs = [], [], []
         for s in shingle_sets(buf, at, size):
             n.append(len(s))
@@ -95,8 +95,8 @@ def _signed(size: int):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), flat)
         k = np.array(keys, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), lists],
-            ["doc_id", "n_shingles", "k1", "k2", "sig"])
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), lists],
+            ["doc_id", "text_hash", "n_shingles", "k1", "k2", "sig"])
     return run
 
 
@@ -321,8 +321,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
     group. Repeated rows stay repeated and are kept or not together, since they share their
     doc_id. Other columns are not read. An empty table gives an empty result.
     """
-    docs = durable(arrow_map(documents.select("doc_id", "text"), _signed(size),
-                             "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"))
+    return _named(documents, size, percent, cluster_limit).drop("text_hash")
+
+
+def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
+                         cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
+    """``documents`` with only the document of each group that ``near_duplicates`` keeps; all columns stay."""
+    return without_rows(documents, _named(documents, size, percent, cluster_limit).filter("NOT kept"))
+
+
+def _named(documents: DataFrame, size: int, percent: int, cluster_limit: int) -> DataFrame:
+    docs = durable(arrow_map(documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), _signed(size),
+                             "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sig array<long>"))
     classes = durable(
         docs.filter("n_shingles > 0").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -332,7 +342,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
         "root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = named.join(smallest, "root").select("k1", "k2", "component_id")
-    own = docs.select("doc_id", "n_shingles", "k1", "k2")
-    some = own.filter("n_shingles > 0").join(names, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
-    none = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = docs.select("doc_id", "text_hash", "n_shingles", "k1", "k2")
+    cols = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    some = own.filter("n_shingles > 0").join(names, ["k1", "k2"]).select(cols)
+    none = own.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(cols)
     return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

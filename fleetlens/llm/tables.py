@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.session import durable
 
 
-def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+              schema: str | StructType) -> DataFrame:
     """``df`` through ``run``, one Arrow batch at a time."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -21,6 +23,22 @@ def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(each, schema)
 
 
+SMALL_ROWS = 500_000  # rows of two numbers that may be broadcast, about 10 MB
+
+
+def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """``documents`` without the rows whose (doc_id, hash of text) is listed in ``gone`` (doc_id, text_hash).
+
+    The list is written once and counted; only a short one is broadcast, a long one meets the
+    documents in a shuffled join.
+    """
+    gone = durable(gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_"})
+    same = docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    left = docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, same, "left_anti")
+    return left.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges`` (a, b: long, not null).
 
