@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_text, near_dup, packing, quality_model, quality_rules, secrets, substring_dedup, url_filters
+from fleetlens.llm import decontaminate, html_text, near_dup, packing, quality_model, quality_rules, quotes, secrets, substring_dedup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -89,3 +89,8 @@ def _(spark, d):
 @query("op6_html_extraction")
 def _(spark, d):
     return html_text.extract_text(table(spark, d, "pages"))
+
+
+@query("op9_chat_formatting")
+def _(spark, d):
+    return quotes.reply_order(table(spark, d, "conversations"))
