@@ -55,7 +55,8 @@ def decode_int(text: Column) -> Column:
     Only 32-bit results are accepted.
     """
     sign = F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)
-    body = F.regexp_replace(text, "^[+-]", "")
+    # zeros that pad a number do not count against the digits a long can hold
+    body = F.regexp_replace(F.regexp_replace(text, "^[+-]", ""), "^(0[xX]|#|0)0+(?=[0-9a-fA-F])", "$1")
     number = (
         F.when(body.rlike("^(0[xX]|#)[0-9a-fA-F]{1,15}$"),
                F.conv(F.regexp_replace(body, "^(0[xX]|#)", ""), 16, 10))

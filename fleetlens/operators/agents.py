@@ -13,6 +13,7 @@ from fleetlens.operators.logs import tail_text, without_markup
 LABEL_SEPARATOR = "___"
 STATES = ("INIT", "INSTALLING", "INSTALLED", "STARTING", "STARTED", "INSTALL_FAILED")
 COMMANDS = ("INSTALL", "START")
+NO_COMMAND = "NOP"
 RESULTS = ("IN_PROGRESS", "COMPLETED", "FAILED")
 MAX_FAILURES = 3
 IN_PROGRESS_EXIT_CODE = 777
@@ -55,9 +56,11 @@ def step_state(state: str, failures: int, kind: str, command: str | None,
                result: str | None) -> tuple[str, int, bool]:
     """One move of a component: next state, failures in a row, and whether it was illegal."""
     if kind == "issue":
-        allowed = next_command_of(state, failures)
-        if command is None or command != allowed:
+        allowed = next_command_of(state, failures) or NO_COMMAND
+        if command != allowed:
             return state, failures, True
+        if command == NO_COMMAND:
+            return state, failures, False
         return ("INSTALLING" if command == "INSTALL" else "STARTING"), failures, False
     running = {"INSTALLING": "INSTALL", "STARTING": "START"}.get(state)
     if running is None or (command is not None and command != running) or result not in RESULTS:
@@ -81,7 +84,7 @@ def _situations() -> list[tuple[str, int]]:
 
 
 def _moves() -> list[tuple[str, str | None, str | None]]:
-    issues = [("issue", c, None) for c in COMMANDS]
+    issues = [("issue", c, None) for c in (*COMMANDS, NO_COMMAND)]
     results = [("result", c, r) for r in RESULTS for c in (*COMMANDS, None)]
     return [*issues, *results, ("bad", None, None)]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ordered import broadcast_if_small
 from fleetlens.functions.text import after, decode_int, starts
 from fleetlens.session import durable
 
@@ -197,13 +198,16 @@ def heap_megabytes(text: Column) -> Column:
 def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries that break a rule.
 
-    ``rules(key_suffix, rule, min, max)``: a rule applies to keys that end in the suffix.
-    Rules are ``int`` (a bound of -1 is none), ``count`` (a max of 0 is none), ``heap``,
-    ``name`` and ``schema``. Rules are joined on the last part of the key, after its
-    last dot, so the work is one equi-join however many rules there are.
+    ``rules(key_suffix, rule, min, max)``: a rule applies to keys that are the suffix or
+    end in it after a dot; a suffix may contain dots. Rules are ``int`` (a bound of -1 is
+    none), ``count`` (a max of 0 is none), ``heap``, ``name`` and ``schema``. Every key is
+    looked up by all its tails, one for each of its dots, so the work is one equi-join
+    however many rules there are.
     """
-    tail = F.substring_index("key", ".", -1)
-    hit = entries.filter(F.col("key").isNotNull()).withColumn("key_suffix", tail).join(rules, "key_suffix")
+    parts = F.size(F.split("key", r"\."))
+    tails = F.transform(F.sequence(F.lit(1), parts), lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n))
+    rules = broadcast_if_small(durable(rules))
+    hit = entries.filter(F.col("key").isNotNull()).withColumn("key_suffix", F.explode(tails)).join(rules, "key_suffix")
     number = decode_int(F.trim("value"))
     low = F.when((F.col("rule") == "count") | (F.col("min") >= 0), F.col("min"))
     high = F.when(F.when(F.col("rule") == "count", F.col("max") > 0).otherwise(F.col("max") >= 0), F.col("max"))
@@ -268,31 +272,29 @@ def override_audit(entries: DataFrame) -> DataFrame:
     ).orderBy("doc", "component", "key")
 
 
-def config_doc_json(entries: DataFrame, max_entries: int = 100_000) -> DataFrame:
-    """Long rows back into JSON trees, one row per document part.
+def config_doc_json(entries: DataFrame, line_entries: int = 10_000) -> DataFrame:
+    """Long rows into JSON lines ``doc, json``; every line is a valid tree that names its document.
 
-    A document is one part unless it has more than ``max_entries`` keys; then its keys
-    are dealt over as many parts as needed, each a valid tree, and merging the parts
-    gives the document. Components are assembled first, documents from components.
+    The keys of a document are dealt over lines of about ``line_entries`` keys. Reading all
+    lines of a document gives its entries again, whatever their number. Of entries that
+    repeat a key in a component or section the greatest value stays.
     """
-    sizes = entries.groupBy("doc").agg(F.count("*").alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > max_entries).select("doc", F.ceil(F.col("_rows") / max_entries).alias("_parts"))
-    # at most total / max_entries documents can be that large
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("section", "component", "key"), F.col("_parts"))).cast("long")
-    dealt = entries.join(F.broadcast(hot), "doc", "left").withColumn("part", part)
+    unique = entries.groupBy("doc", "section", "component", "key").agg(F.max("value").alias("value"))
+    lines = unique.groupBy("doc").agg(F.ceil(F.count("*") / line_entries).alias("_lines"))
+    dealt = unique.join(lines, "doc").withColumn(
+        "_line", F.pmod(F.xxhash64("section", "component", "key"), F.col("_lines")))
     pair = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
-    maps = dealt.groupBy("doc", "part", "section", "component").agg(
+    maps = dealt.groupBy("doc", "_line", "section", "component").agg(
         F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("options"))
     section = lambda s: F.first(F.when(F.col("section") == s, F.col("options")), ignorenulls=True)
     empty = F.create_map().cast("map<string,string>")
-    trees = maps.groupBy("doc", "part").agg(
+    trees = maps.groupBy("doc", "_line").agg(
         section("metadata").alias("metadata"), section("global").alias("global"),
         F.sort_array(F.collect_list(F.when(F.col("section") == "component", F.struct(
             "component", F.map_entries("options").alias("pairs"))))).alias("components"))
     tree = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema"),
+        "doc", F.lit(SCHEMA_VERSION).alias("schema"),
         F.coalesce("metadata", empty).alias("metadata"), F.coalesce("global", empty).alias("global"),
         F.map_from_entries(F.transform("components", lambda c: F.struct(
             c["component"], F.map_from_entries(c["pairs"])))).alias("components"))
-    return trees.select("doc", "part", F.to_json(tree).alias("json"))
+    return trees.select("doc", F.to_json(tree).alias("json"))

@@ -28,8 +28,9 @@ def _at(cond: Column) -> Column:
 
 
 def millis(ts: Column) -> Column:
-    """Epoch milliseconds of a zone-free timestamp."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+    """Epoch milliseconds of a zone-free timestamp, whatever the session's zone."""
+    since = (ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+    return F.floor(since.cast("decimal(20,6)") * 1000).cast("long")
 
 
 def container_summary(events: DataFrame) -> DataFrame:

@@ -596,13 +596,13 @@ def _(spark, d):
 
 @query("audit_config", with_views("part_keys config audit_rules", """
     joined AS (SELECT *, CAST(value AS INTEGER) AS number
-               FROM config JOIN audit_rules ON key_suffix = split_part(key, '.', -1))
+               FROM config JOIN audit_rules ON key = key_suffix OR ends_with(key, '.' || key_suffix))
     SELECT doc, section, component, key, value, rule,
            CASE WHEN rule IN ('int', 'count') AND number < min THEN 'below ' || min
                 WHEN rule IN ('int', 'count') AND number > max THEN 'above ' || max
-                WHEN rule = 'name' THEN 'bad name' END AS detail
+                WHEN rule = 'name' THEN 'bad name' ELSE 'unsupported version' END AS detail
     FROM joined
-    WHERE rule = 'name' OR (rule IN ('int', 'count') AND (number < min OR number > max))""", recursive=True))
+    WHERE rule IN ('name', 'schema') OR (rule IN ('int', 'count') AND (number < min OR number > max))""", recursive=True))
 def _(spark, d):
     return config.audit_config(v.config(spark, d), v.audit_rules(spark, d))
 
@@ -660,21 +660,46 @@ def _(spark, d):
     return config.override_audit(v.config(spark, d))
 
 
-@query("config_doc_json")
+@query("config_doc_json", with_views("part_keys config", """
+    SELECT doc, count(*) FILTER (section = 'component') AS in_components, count(*) FILTER (section = 'global') AS in_global,
+           count(*) FILTER (section = 'metadata') AS in_metadata FROM config GROUP BY doc"""))
 def _(spark, d):
-    return config.config_doc_json(v.config(spark, d))
+    """What the lines of every document hold, counted in the JSON text itself."""
+    lines = config.config_doc_json(v.config(spark, d), line_entries=300)
+    size = lambda *path: F.coalesce(F.size(F.from_json(F.get_json_object("json", "$." + ".".join(path)), "map<string,string>")), F.lit(0))
+    inner = F.map_values(F.from_json(F.get_json_object("json", "$.components"), "map<string,map<string,string>>"))
+    inside = F.aggregate(F.transform(inner, F.size), F.lit(0), lambda a, x: a + x)
+    return lines.groupBy(F.get_json_object("json", "$.doc").alias("doc")).agg(
+        F.sum(F.coalesce(inside, F.lit(0))).alias("in_components"), F.sum(size("global")).alias("in_global"),
+        F.sum(size("metadata")).alias("in_metadata"))
+
+
+@query("config_docs_read", with_views("part_keys config", """
+    SELECT 'accepted' AS reason, count(DISTINCT doc) AS docs, count(*) AS entries FROM config
+    UNION ALL SELECT 'not JSON', count(DISTINCT doc), 0 FROM config
+    UNION ALL SELECT 'unsupported version', count(DISTINCT doc), 0 FROM config
+    UNION ALL SELECT 'version undefined', count(DISTINCT doc), 0 FROM config"""))
+def _(spark, d):
+    """Lines of all documents with three spoilt ones for each; every line is read or reported."""
+    from fleetlens.sources.config_docs import config_entries, parse_lines, rejected_docs
+
+    names = v.config(spark, d).select("doc").distinct()
+    spoilt = names.select(F.explode(F.array(
+        F.concat(F.lit('{"doc": "'), "doc", F.lit('", ')), F.concat(F.lit('{"doc": "old'), "doc", F.lit('", "schema": "1"}')),
+        F.concat(F.lit('{"doc": "none'), "doc", F.lit('"}')))).alias("value"))
+    trees = parse_lines(config.config_doc_json(v.config(spark, d), line_entries=300).select(F.col("json").alias("value")).union(spoilt))
+    bad = rejected_docs(trees).groupBy("reason").agg(F.count("*").alias("docs"), F.lit(0).cast("long").alias("entries"))
+    good = config_entries(trees).agg(F.lit("accepted").alias("reason"), F.countDistinct("doc").alias("docs"), F.count("*").alias("entries"))
+    return good.unionByName(bad)
 
 
 @query("config_doc_entries", with_views("part_keys config", "SELECT * FROM config"))
 def _(spark, d):
     """JSON trees written and read back are the entries again."""
-    from fleetlens.sources.config_docs import config_entries
+    from fleetlens.sources.config_docs import config_entries, parse_lines
 
-    docs = config.config_doc_json(v.config(spark, d), max_entries=400)
-    tree = F.from_json("json", "schema string, metadata map<string,string>, global map<string,string>, "
-                               "components map<string,map<string,string>>")
-    return config_entries(docs.select("doc", tree.alias("t")).select(
-        "doc", "t.*", F.lit(None).cast("string").alias("_broken")))
+    lines = config.config_doc_json(v.config(spark, d), line_entries=100)
+    return config_entries(parse_lines(lines.select(F.col("json").alias("value"))))
 
 
 # --- snapshots ---------------------------------------------------------------
@@ -770,6 +795,8 @@ COMPONENT_SQL = """
         w.illegal + CASE
              WHEN n.kind = 'issue' AND w.failures < 3 AND n.command = 'INSTALL' AND w.state IN ('INIT', 'INSTALL_FAILED') THEN 0
              WHEN n.kind = 'issue' AND w.failures < 3 AND n.command = 'START' AND w.state = 'INSTALLED' THEN 0
+             WHEN n.kind = 'issue' AND n.command = 'NOP'
+                  AND NOT (w.failures < 3 AND w.state IN ('INIT', 'INSTALL_FAILED', 'INSTALLED')) THEN 0
              WHEN n.kind = 'result' AND w.state IN ('INSTALLING', 'STARTING') THEN 0 ELSE 1 END,
         n.seq
       FROM walk w JOIN n ON n.label = w.label AND n.i = w.i + 1),

@@ -119,7 +119,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(text("user_id"), F.lit("___"), text(F.to_date("ts"))).alias("label"),
         F.col("event_id").alias("seq"), F.when(kind.isin("signup", "purchase"), "issue").otherwise("result").alias("kind"),
-        F.when(kind == "signup", "INSTALL").when(kind == "purchase", "START").alias("command"),
+        F.when(kind == "signup", "INSTALL").when((kind == "purchase") & (F.col("event_id") % 5 == 0), "NOP")
+        .when(kind == "purchase", "START").alias("command"),
         F.when(kind == "view", "COMPLETED").when(kind == "click", "IN_PROGRESS").when(kind == "error", "FAILED").alias("result"))
 
 
@@ -163,7 +164,8 @@ EVENT_VIEWS = {
     "reports": """
       SELECT user_id || '___' || strftime(ts, '%Y-%m-%d') AS label, event_id AS seq,
              CASE WHEN event_type IN ('signup', 'purchase') THEN 'issue' ELSE 'result' END AS kind,
-             CASE event_type WHEN 'signup' THEN 'INSTALL' WHEN 'purchase' THEN 'START' END AS command,
+             CASE WHEN event_type = 'signup' THEN 'INSTALL' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'NOP'
+                  WHEN event_type = 'purchase' THEN 'START' END AS command,
              CASE event_type WHEN 'view' THEN 'COMPLETED' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'error' THEN 'FAILED' END AS result
       FROM events""",
     "task_reports": """
@@ -435,9 +437,14 @@ def resource_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per colour, its kind by the length of the colour."""
     kind = F.length("colour") % 4
-    return part_keys(spark, sf_dir).groupBy(F.col("colour").alias("key_suffix")).agg(
+    keys = part_keys(spark, sf_dir)
+    plain = keys.groupBy(F.col("colour").alias("key_suffix")).agg(
         F.first(F.when(kind == 0, "int").when(kind == 1, "count").when(kind == 2, "heap").otherwise("name")).alias("rule"),
         (F.min("p_size") + 9).alias("min"), F.lit(40).alias("max"))
+    # suffixes of two parts, the type and the colour
+    dotted = keys.groupBy(F.concat_ws(".", F.element_at(F.split("key", r"\."), -2), "colour").alias("key_suffix")).agg(
+        F.when(F.max("p_size") % 2 == 0, "int").otherwise("schema").alias("rule"), (F.min("p_size") + 3).alias("min"), F.lit(30).alias("max"))
+    return plain.unionByName(dotted)
 
 
 def _entries_sql(source: str, tree: bool) -> str:
@@ -476,7 +483,11 @@ CONFIG = {
     "audit_rules": """
       SELECT colour AS key_suffix, CASE length(colour) % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'count' WHEN 2 THEN 'heap'
              ELSE 'name' END AS rule, min(p_size) + 9 AS min, 40 AS max
-      FROM part_keys GROUP BY colour""",
+      FROM part_keys GROUP BY colour
+      UNION ALL
+      SELECT split_part(key, '.', -2) || '.' || colour, CASE WHEN max(p_size) % 2 = 0 THEN 'int' ELSE 'schema' END,
+             min(p_size) + 3, 30
+      FROM part_keys GROUP BY 1, colour""",
     "resolved": """
       SELECT doc, component, key, value, 'component' AS origin FROM config WHERE section = 'component'
       UNION ALL

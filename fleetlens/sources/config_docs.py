@@ -19,24 +19,42 @@ def read_config_trees(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1)))
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """One row per text row ``value``, a tree that names its document in a field ``doc``."""
+    tree = F.from_json("value", f"doc string, {_TREE}", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.filter(F.trim("value") != "").select(tree.alias("t")).select("t.*")
+
+
+def read_config_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Trees of text files with one tree in each line, as ``write_config_docs`` leaves them."""
+    return parse_lines(spark.read.text(paths))
+
+
 def config_entries(trees: DataFrame) -> DataFrame:
     """Long rows of the readable trees.
 
     A component without keys keeps one row with a null key, so that it still exists.
     """
-    good = trees.filter(F.col("_broken").isNull())
+    none = F.lit(None).cast("string")
+
+    def flat(section: str):
+        return F.transform(F.map_entries(F.coalesce(section, F.create_map().cast("map<string,string>"))), lambda e: F.struct(
+            F.lit(section).alias("section"), none.alias("component"), e["key"].alias("key"), e["value"].alias("value")))
 
-    def flat(section: str) -> DataFrame:
-        return good.select("doc", F.lit(section).alias("section"), F.lit(None).cast("string").alias("component"),
-                           F.explode(section).alias("key", "value"))
+    def row(component, key, value):
+        return F.struct(F.lit("component").alias("section"), component.alias("component"), key.alias("key"), value.alias("value"))
 
-    comps = good.select("doc", F.explode("components").alias("component", "_o")).select(
-        "doc", F.lit("component").alias("section"), "component", F.explode_outer("_o").alias("key", "value"))
-    return flat("metadata").unionByName(flat("global")).unionByName(comps)
+    comps = F.flatten(F.transform(
+        F.map_entries(F.coalesce("components", F.create_map().cast("map<string,map<string,string>>"))),
+        lambda c: F.when(F.coalesce(F.size(c["value"]), F.lit(0)) == 0, F.array(row(c["key"], none, none))).otherwise(
+            F.transform(F.map_entries(c["value"]), lambda e: row(c["key"], e["key"], e["value"])))))
+    readable = trees.filter(F.col("_broken").isNull() & F.col("schema").eqNullSafe(F.lit(SCHEMA_VERSION)))
+    return readable.select("doc", F.inline(F.concat(flat("metadata"), flat("global"), comps)))
 
 
-def read_config_docs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return config_entries(read_config_trees(spark, paths))
+def read_config_docs(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """Entries of documents, one per file named after it, or with ``lines`` one per line."""
+    return config_entries(read_config_lines(spark, paths) if lines else read_config_trees(spark, paths))
 
 
 def rejected_docs(trees: DataFrame) -> DataFrame:
@@ -47,6 +65,5 @@ def rejected_docs(trees: DataFrame) -> DataFrame:
 
 
 def write_config_docs(entries: DataFrame, folder: str) -> None:
-    """One JSON tree per line, in a folder per document."""
-    config_doc_json(entries).select("doc", F.col("json").alias("value")).write.mode("overwrite").partitionBy(
-        "doc").text(folder)
+    """JSON lines that name their document; ``read_config_docs(..., lines=True)`` reads them."""
+    config_doc_json(entries).select(F.col("json").alias("value")).write.mode("overwrite").text(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: fields of the messages as they are on the wire
 MOUNT = "struct<available:string,mountpoint:string,device:string,used:string,percent:string,size:string,type:string>"
 REPORT = ("struct<role:string,actionId:string,stdout:string,stderr:string,structuredOut:string,status:string,"
           "exitCode:int,clusterName:string,serviceName:string,taskId:bigint,roleCommand:string,"

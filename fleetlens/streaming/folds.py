@@ -319,21 +319,25 @@ class PhaseFold(OrderedFold):
 class ReportDrain(StatefulProcessor):
     """Newest report of each task, sent with every trigger that has one.
 
-    A finished or status report is sent once and forgotten. A running one stays and is
-    sent again every ``resend_ms`` until something newer comes. A report older than the
-    one held is dropped.
+    A finished or status report is sent once; its number is remembered (for ``retention_ms``
+    if given) so that older reports that come late are dropped. A running one is sent again every
+    ``resend_ms`` until something newer comes.
     """
 
     memory_schema = "seq bigint,command_type string,status string,exit_code int,stdout string"
     columns = [n for n, _ in _fields(memory_schema)]
     output_schema = "task_id bigint," + memory_schema
 
-    def __init__(self, resend_ms: int | None = None):
-        self.resend_ms = resend_ms
+    def __init__(self, resend_ms: int | None = None, retention_ms: int | None = None):
+        self.resend_ms, self.retention_ms = resend_ms, retention_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.memory_schema)
+        self.held = handle.getValueState("held", self.memory_schema, *([self.retention_ms] if self.retention_ms else []))
+
+    @staticmethod
+    def _running(report: tuple) -> bool:
+        return report[1] == "EXECUTION" and report[2] == "IN_PROGRESS"
 
     def _send(self, key, report: tuple) -> pd.DataFrame:
         return pd.DataFrame([[key[0], *report]], columns=["task_id", *self.columns]).astype(object)
@@ -342,18 +346,16 @@ class ReportDrain(StatefulProcessor):
         tops = [pdf.loc[pdf["seq"].idxmax()] for pdf in rows]
         top = max(tops, key=lambda r: r["seq"])
         report = tuple(None if pd.isna(top[n]) else cast(top[n]) for n, cast in _fields(self.memory_schema))
-        if self.held.exists() and self.held.get()[0] >= report[0]:
+        held = self.held.get() if self.held.exists() else None
+        if held is not None and held[0] >= report[0]:
             return
-        if report[1] == "EXECUTION" and report[2] == "IN_PROGRESS":
-            if self.resend_ms and not self.held.exists():
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
-            self.held.update(report)
-        else:
-            self.held.clear()
+        if self._running(report) and self.resend_ms and (held is None or not self._running(held)):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
+        self.held.update(report)
         yield self._send(key, report)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
+        if self.held.exists() and self._running(self.held.get()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
             yield self._send(key, self.held.get())
 

@@ -65,16 +65,17 @@ def stream_phases(statuses: DataFrame, bootstrap_ms: int, has_dependencies: bool
                  PhaseFold(bootstrap_ms, has_dependencies), "Append")
 
 
-def stream_drain(reports: DataFrame, resend_ms: int | None = None) -> DataFrame:
+def stream_drain(reports: DataFrame, resend_ms: int | None = None, retention_ms: int | None = None) -> DataFrame:
     """Reports to send with each trigger, shaped as by ``agents.drain_reports``.
 
-    With ``resend_ms`` running tasks are reported again at that interval.
+    With ``resend_ms`` running tasks are reported again at that interval. After a report a
+    task's number is remembered, for ``retention_ms`` if given, so late older reports are dropped.
     """
-    drain = ReportDrain(resend_ms)
+    drain = ReportDrain(resend_ms, retention_ms)
     sent = reports.filter(F.col("command_type").isin("EXECUTION", "STATUS")).groupBy(
         "task_id").transformWithStateInPandas(
         statefulProcessor=drain, outputStructType=drain.output_schema, outputMode="Append",
-        timeMode="ProcessingTime" if resend_ms else "None")
+        timeMode="ProcessingTime" if resend_ms or retention_ms else "None")
     execution = F.col("command_type") == "EXECUTION"
     running = execution & (F.col("status") == "IN_PROGRESS")
     return sent.select(

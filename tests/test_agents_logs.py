@@ -231,3 +231,9 @@ def test_http_and_text(spark):
                      "false real_outcome, cast(null as string) message")
     assert h.health_log_line(line).first().line == (
         'Probe Status, time="2024-01-01 00:00:00", phase="LIVE", outcome="success", originaloutcome="failure", message=null')
+
+
+@pytest.mark.parametrize("state, failures, illegal", [
+    ("INIT", 0, True), ("INIT", 3, False), ("INSTALLING", 0, False), ("STARTED", 0, False), ("INSTALLED", 1, True), ("INSTALL_FAILED", 2, True)])
+def test_no_command_is_legal_when_expected(state, failures, illegal):
+    assert a.step_state(state, failures, "issue", "NOP", None) == (state, failures, illegal)

@@ -158,6 +158,17 @@ def test_running_tasks_are_sent_again(spark, small, tmp_path):
     assert all(r["count"] > 1 for r in counts if not r.forgotten)
 
 
+def test_late_older_report_is_dropped(spark, tmp_path):
+    schema = "task_id long, seq long, command_type string, status string, exit_code int, stdout string"
+    source = tmp_path / "late"
+    for k, row in enumerate([(1, 5, "EXECUTION", "COMPLETED", 0, "done"), (1, 3, "EXECUTION", "IN_PROGRESS", 0, "old")]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(source))
+        q = (streams.stream_drain(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("parquet")
+             .option("path", str(tmp_path / "sent")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "sent")).collect()] == ["COMPLETED"]
+
+
 def test_aggregates_take_streams(spark, small, tmp_path):
     trans = lifecycle.transitions(v.lifecycle(spark, small), v.SHORT_MS).select("role_id", "host", "seq", "effect", "gone")
     stream = as_stream(spark, trans, tmp_path)
