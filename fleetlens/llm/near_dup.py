@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import arrow_map, components, without_rows
+from fleetlens.llm.tables import arrow_map, components, small_batches, without_rows
 from fleetlens.llm.words import find_words, mix, slices, text_bytes
 from fleetlens.session import durable
 
@@ -250,7 +250,7 @@ def _crossed(percent: int):
 
 
 def _by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return small_batches(df).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def class_components(classes: DataFrame, documents: DataFrame, size: int, percent: int,

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from fleetlens.llm.tables import small_batches
 from fleetlens.llm.tokens import text_ids, tokenizer
 from fleetlens.llm.words import text_bytes
 
@@ -150,5 +151,5 @@ def pack(documents: DataFrame, tokenizer_path: str, tokens: int = 2048, segments
     """
     from pyspark.sql import functions as F
     prompt = F.lit(0).cast("long") if prompt_column is None else F.greatest(F.lit(0), F.col(prompt_column)).cast("long")
-    return documents.select("doc_id", "text", prompt.alias("_prompt")).mapInArrow(
+    return small_batches(documents.select("doc_id", "text", prompt.alias("_prompt"))).mapInArrow(
         _packed(tokenizer_path, tokens, segments, loss_tokens, with_ids), SCHEMA)

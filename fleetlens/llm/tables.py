@@ -13,6 +13,23 @@ from pyspark.sql.types import StructType
 from fleetlens.session import durable
 
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; the session hands rows to Python in batches of ``BATCH_BYTES`` at most.
+
+    A batch is held on both sides at once, so its size bounds the memory of a task. A row
+    larger than that is a batch of its own. A lower setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH)).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: str | StructType) -> DataFrame:
     """``df`` through ``run``, one Arrow batch at a time."""
@@ -20,7 +37,7 @@ def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | No
         for b in batches:
             if b.num_rows and (out := run(b)) is not None:
                 yield out
-    return df.mapInArrow(each, schema)
+    return small_batches(df).mapInArrow(each, schema)
 
 
 SMALL_ROWS = 500_000  # rows of two numbers that may be broadcast, about 10 MB

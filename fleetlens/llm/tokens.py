@@ -15,7 +15,7 @@ import numpy as np
 from fleetlens.llm.words import _BYTE, find_words, mix, powers
 
 SLICE = 1 << 20          # bytes handled at once
-CACHE_RUNS = 1_000_000   # distinct runs a worker remembers
+CACHE_RUNS = 300_000     # distinct runs a worker remembers
 _WHOLE = np.uint64(0xA0761D6478BD642F)
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other, 4 part of a word kept whole
