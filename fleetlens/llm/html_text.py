@@ -392,9 +392,11 @@ def learn(pages: list[str], seed: int = 4) -> Extractor:
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Extractor | None:
     """An extractor learned from at most ``fit_pages`` pages with an article or main element."""
-    sample = (pages.filter(F.col("html").rlike("(?is)<(article|main)\\b.*</(article|main)>") & (F.length("html") <= FIT_CHARS))
-              .select("html").orderBy(F.xxhash64("html"), "html").limit(fit_pages))
-    rows = sorted(r.html for r in sample.collect())
+    usable = pages.filter(F.col("html").rlike("(?is)<(article|main)\\b.*</(article|main)>") & (F.length("html") <= FIT_CHARS)).select(
+        "html", F.xxhash64("html").alias("hash"))
+    # first the hashes alone, so that no task sends pages that are not chosen; copies of a page count once
+    chosen = [r.hash for r in usable.select("hash").distinct().orderBy("hash").limit(fit_pages).collect()]
+    rows = sorted(r.html for r in usable.filter(F.col("hash").isin(chosen)).groupBy("hash").agg(F.min("html").alias("html")).collect())
     return learn(rows) if rows else None
 
 
