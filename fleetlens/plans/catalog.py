@@ -756,6 +756,24 @@ def _(spark, d):
     return heartbeats.flatten_heartbeats(messages, "reports")
 
 
+@query("read_heartbeats", """
+    SELECT CAST(user_id AS VARCHAR) AS label, event_id AS response_id, position, event_type AS role, event_id + position AS task_id,
+           CAST(NULL AS VARCHAR) AS line
+    FROM events, (VALUES (0), (1)) AS p(position) WHERE event_id % 10 <> 0
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, NULL, '{"hostname": "' || user_id || '", "responseId": ' FROM events WHERE event_id % 10 = 0""")
+def _(spark, d):
+    """Messages as JSON text, every tenth cut short, parsed with the full schema; cut lines are reported."""
+    e, host = v.table(spark, d, "events"), F.col("user_id").cast("string")
+    report = lambda k: F.struct(F.col("event_type").alias("role"), (F.col("event_id") + k).alias("taskId"))
+    message = F.to_json(F.struct(host.alias("hostname"), F.col("event_id").alias("responseId"), F.array(report(0), report(1)).alias("reports")))
+    cut = F.concat(F.lit('{"hostname": "'), host, F.lit('", "responseId": '))
+    messages = heartbeats.parse_messages(e.select(F.when(F.col("event_id") % 10 == 0, cut).otherwise(message).alias("value")))
+    rows = heartbeats.flatten_heartbeats(messages, "reports").select(
+        "label", "response_id", "position", "role", F.col("taskId").alias("task_id"), F.lit(None).cast("string").alias("line"))
+    return rows.unionByName(heartbeats.rejected_messages(messages), allowMissingColumns=True)
+
+
 @query("check_registrations", with_views("lifecycle", """
     SELECT label, container_id, role, CASE WHEN known IS NULL THEN 'FAILED' ELSE 'OK' END AS status,
            CASE WHEN known IS NULL THEN 'Label not recognized.' END AS log

@@ -34,9 +34,15 @@ REGISTRATION_SCHEMA = ("responseId int, timestamp bigint, hostname string, curre
                        f"hardwareProfile {PROFILE}, publicHostname string, agentEnv {ENVIRONMENT}, agentVersion string")
 
 
+def parse_messages(lines: DataFrame, schema: str = HEARTBEAT_SCHEMA) -> DataFrame:
+    """One row per text row ``value``; a line that is no JSON message is in ``_broken``, all else null."""
+    message = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.filter(F.trim("value") != "").select(message.alias("m")).select("m.*")
+
+
 def _read(spark: SparkSession, path: str, schema: str, streaming: bool) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(schema).json(path)
+    return parse_messages(reader.text(path), schema)
 
 
 def read_heartbeats(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -51,9 +57,16 @@ def flatten_heartbeats(messages: DataFrame, field: str) -> DataFrame:
     """One row per element of ``reports``, ``componentStatus`` or ``mounts``.
 
     A message with no elements keeps one row with nulls. ``position`` is the place of
-    the element in its message.
+    the element in its message. Broken lines give no row, see ``rejected_messages``.
     """
+    if "_broken" in messages.columns:
+        messages = messages.filter(F.col("_broken").isNull())
     label = F.col("hostname").alias("label")
     return messages.select(label, F.col("responseId").alias("response_id"), "timestamp",
                            F.posexplode_outer(field).alias("position", "_e")).select(
         "label", "response_id", "timestamp", "position", "_e.*")
+
+
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """The lines that are no messages, as they came."""
+    return messages.filter(F.col("_broken").isNotNull()).select(F.col("_broken").alias("line"))
