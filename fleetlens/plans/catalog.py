@@ -729,6 +729,22 @@ def _(spark, d):
     return history.latest_valid_snapshot(v.snapshot_records(spark, d)).select(*ENTRY_COLS)
 
 
+@query("read_history", with_views("months entries", """
+    SELECT printf('%016x', saved_ms) AS saved, 'entry' AS kind, CAST(NULL AS INTEGER) AS version, host, role_id, active, last_used,
+           CAST(NULL AS BIGINT) AS count FROM entries
+    UNION ALL SELECT printf('%016x', saved_ms), 'header', CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END, NULL, NULL, NULL, NULL, NULL FROM months
+    UNION ALL SELECT printf('%016x', saved_ms), CASE WHEN opens % 3 = 0 THEN 'broken' ELSE 'footer' END, NULL, NULL, NULL, NULL, NULL,
+                     CASE WHEN opens % 3 <> 0 THEN n - CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END END FROM months"""))
+def _(spark, d):
+    """Snapshot records as JSON lines, the lost ones cut short, parsed again."""
+    kind = F.col("kind")
+    name = F.when(kind == "header", "Header").when(kind == "footer", "Footer").otherwise("Entry")
+    body = F.struct("version", F.col("saved_ms").alias("saved"), "host", F.col("role_id").alias("role"), "active", "last_used", "count")
+    line = F.concat(F.lit('{"entry":'), F.to_json(F.create_map(name, body)), F.lit("}"))
+    lines = v.snapshot_records(spark, d).select("saved", F.when(kind == "lost", '{"entry":').otherwise(line).alias("value"))
+    return history.parse_records(lines).select("saved", "kind", "version", "host", "role_id", "active", "last_used", "count")
+
+
 @query("expired_snapshots", with_views("months checked", """
     SELECT saved FROM checked WHERE saved < (SELECT max(saved) FROM checked WHERE valid)"""))
 def _(spark, d):

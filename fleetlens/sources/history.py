@@ -57,22 +57,31 @@ def read_history(spark: SparkSession, folder: str) -> DataFrame:
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     """Records of one-file snapshots, with the file as ``saved`` and a position in it.
 
-    Each line is ``{"entry": {"<record type>": {...}}}``; the end of the record type
-    (Header, Footer, anything else) tells what it is. Files must not be split over two
-    reads of this frame for positions to be comparable, which one aggregation satisfies.
+    Files must not be split over two reads of this frame for positions to be comparable,
+    which one aggregation satisfies.
     """
     lines = spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([0-9a-fA-F]+)[^/0-9a-fA-F]*(\.json)?$", 1).alias("saved"),
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("position"), "value")
+    return parse_records(lines)
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """Records of text rows ``value``; the other columns stay in front.
+
+    A line is ``{"entry": {"<record type>": {...}}}``; the end of the record type (Header,
+    Footer, anything else) tells what it is, and any other line is ``broken``.
+    """
+    place = [c for c in lines.columns if c != "value"]
     body = F.from_json("value", f"entry map<string,{_BODY}>")
-    named = lines.select("saved", "file", "position", F.map_entries(body["entry"])[0].alias("_e"), "value")
+    named = lines.select(*place, F.map_entries(body["entry"])[0].alias("_e"), "value")
     kind = (F.when(F.col("_e").isNull(), "broken").when(F.col("_e.key").endswith("Header"), "header")
             .when(F.col("_e.key").endswith("Footer"), "footer").otherwise("entry"))
     value = F.col("_e.value")
     return named.filter(F.trim("value") != "").select(
-        "saved", "file", "position", kind.alias("kind"), value["version"].alias("version"),
+        *place, kind.alias("kind"), value["version"].alias("version"),
         value["saved"].alias("saved_ms"), value["roles"].alias("roles"), value["host"].alias("host"),
         value["role"].alias("role_id"), value["active"].alias("active"), value["last_used"].alias("last_used"),
         value["count"].alias("count"))
