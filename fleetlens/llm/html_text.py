@@ -62,8 +62,23 @@ def parse(page: str) -> list[Node]:
     """Block elements of a page in page order, the root first; a parent precedes its children."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
+    places: dict[str, list[int]] = {}  # where each tag is in the stack
+    blocks = [0]                       # where blocks are in the stack
     links, block, at = 0, 0, 0
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        places[tag].pop()
+        if tag not in INLINE:
+            blocks.pop()
+        return tag
+
     def say(text: str) -> None:
         if text:
             nodes[stack[-1][1]].parts.append((block, html.unescape(text), links > 0))
@@ -79,15 +94,12 @@ def parse(page: str) -> list[Node]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    for t, _ in stack[k:]:
-                        block += t not in INLINE
-                        links -= t == "a"
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not close blocks
+            k = places[tag][-1] if places.get(tag) else 0
+            if k and (tag not in INLINE or k > blocks[-1]):  # an inline end tag does not close blocks
+                while len(stack) > k:
+                    t = pop()
+                    block += t not in INLINE
+                    links -= t == "a"
             continue
         if tag in SKIPPED:
             if not m[3].endswith("/"):
@@ -103,8 +115,7 @@ def parse(page: str) -> list[Node]:
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            if len(stack) < 500:
-                stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         block += 1
         if tag in ("html", "body"):
@@ -113,19 +124,17 @@ def parse(page: str) -> list[Node]:
         ends = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in ends:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
+                while len(stack) > k:
+                    links -= pop() == "a"
                 break
             if stack[k][0] not in INLINE and stack[k][0] != "p":
                 break
         while stack[-1][0] in INLINE:  # formatting left open does not reach into a new block
-            links -= stack[-1][0] == "a"
-            stack.pop()
-        if len(stack) < 500:
-            up = stack[-1][1]
-            nodes.append(Node(tag, up, nodes[up].depth + 1, _tokens(m[3])))
-            nodes[up].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
+            links -= pop() == "a"
+        up = stack[-1][1]
+        nodes.append(Node(tag, up, nodes[up].depth + 1, _tokens(m[3])))
+        nodes[up].children.append(len(nodes) - 1)
+        push(tag, len(nodes) - 1)
 
 
 def _tokens(attributes: str) -> list[str]:
