@@ -33,6 +33,11 @@ SWITCH = 1.5             # cost of deciding for each child
 # fixed values: elements of HTML by how they take part in the tree
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("script style noscript template iframe object svg math head select option textarea button canvas audio video".split())
+# of these, what has no elements inside and so reaches to its end tag, or else to the end of the page
+RAW = set("script style textarea iframe".split())
+IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
+# end tags of elements around these do not end them
+APART = set("object template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
              "strong sub sup time tt u var wbr br img input".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -58,12 +63,96 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def _end_tag(page: str, tag: str, at: int) -> int:
+    """Where the next end tag of ``tag`` ends, -1 without one."""
+    m = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?>", re.I).search(page, at)
+    return m.end() if m else -1
+
+
+def _head_to(page: str, at: int) -> int:
+    """The end of a head: behind its end tag, or before the first text or tag that cannot be in it."""
+    while (m := _TAG.search(page, at)) is not None and not page[at:m.start()].strip("\ufeff \t\r\n\f"):
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if tag == "head":
+                return at
+            if tag in ("body", "html"):
+                return m.start()
+        elif tag not in IN_HEAD:
+            return at if tag == "head" else m.start()
+        elif tag in ("noscript", "script", "style", "template", "title") and not m[3].endswith("/"):
+            end = _end_tag(page, tag, at)
+            at = end if end >= 0 else len(page) if tag in RAW else at
+    return at
+
+
+def skipped_to(page: str, tag: str, at: int, around: dict[str, list[int]], ends: dict[str, int]) -> int:
+    """Where an element of ``SKIPPED`` ends whose start tag ends at ``at``.
+
+    ``around`` has the places of the open elements around it. ``ends`` keeps where the last end
+    tag of each kind is. Raw text reaches to its end tag or the end of the page, a head as far as
+    heads can. Anything else ends behind its own end tag, before the end tag of a block around it,
+    an option also before the next one. Without an end tag of its own (none on the page any more,
+    or another button or select comes first) it ends before the first block.
+    """
+    if tag in RAW or tag == "noscript":
+        end = _end_tag(page, tag, at)
+        if end >= 0:
+            return end
+        if tag in RAW:
+            return len(page)
+    if tag == "head":
+        return _head_to(page, at)
+    if tag not in ends:
+        ends[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.I)), default=-1)
+    ended = ends[tag] >= at
+    inside: dict[str, int] = {}
+    first, own, here = -1, -1, at  # the first block inside, the last end tag of this kind
+    while (m := _TAG.search(page, here)) is not None:
+        here = m.end()
+        if m[2] is None:
+            continue
+        t = m[2].lower()
+        if m[1]:
+            if t == tag and not inside.get(t):
+                return here
+            if t == tag:
+                own = here
+            if inside.get(t):
+                inside[t] -= 1
+            elif t not in INLINE and tag not in APART and (around.get(t) or t in ("body", "html", "datalist", "select")):
+                return m.start()
+            continue
+        if tag == "option" and t in ("option", "optgroup"):
+            return m.start()
+        if t == tag and tag in ("button", "select"):  # the end tag behind is that one's
+            return first if first >= 0 else m.start()
+        if t not in INLINE and t not in VOID and t not in ("option", "optgroup"):
+            if not ended:
+                return m.start()
+            first = first if first >= 0 else m.start()
+        if m[3].endswith("/") or t in VOID:
+            continue
+        if t in RAW:
+            end = _end_tag(page, t, here)
+            here = end if end >= 0 else len(page)
+        else:
+            inside[t] = inside.get(t, 0) + 1
+    if ended:
+        ends[tag] = -1
+    return own if own >= 0 else first if first >= 0 else at
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page in page order, the root first; a parent precedes its children."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
     places: dict[str, list[int]] = {}  # where each tag is in the stack
     blocks = [0]                       # where blocks are in the stack
+    ends: dict[str, int] = {}          # where the last end tag of a skipped element is
     links, block, at = 0, 0, 0
 
     def push(tag: str, node: int) -> None:
@@ -103,8 +192,7 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in SKIPPED:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = skipped_to(page, tag, at, places, ends)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -121,9 +209,9 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             nodes[stack[-1][1]].tokens += _tokens(m[3])
             continue
-        ends = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        closes = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
+            if stack[k][0] in closes:
                 while len(stack) > k:
                     links -= pop() == "a"
                 break

@@ -21,3 +21,25 @@ def test_every_open_element_has_its_node():
 def test_links_beyond_the_depth_end():
     nodes = html_text.parse("<div>" * 600 + '<a href="#">link</a>text')
     assert [(t, link) for x in nodes for _, t, link in x.parts] == [("link", True), ("text", False)]
+
+
+def page_text(page):
+    nodes = html_text.parse(page)
+    return html_text.joined_text(nodes, [True] * len(nodes))
+
+
+def test_skipped_elements_without_end_tag():
+    story = "<article><p>The story.</p></article>"
+    for head in ("<head>", "<head><title>T</title><meta charset=x>", "<head><script>'</head><p>no</p>'</script><!-- <p> -->",
+                 "<head><noscript><img src=x></noscript><title>T</title>", "<head><title>T</title></head>"):
+        for body in ("", "<body>", "</html>"):
+            assert page_text(f"<html>{head}\n{body}{story}</html>") == "The story."
+        assert page_text(f"<html>{head}The <b>story.</b>") == "The story."
+    for skipped in ("<datalist><option value=x>one<option value=y>two</datalist>", "<select><option>one<option>two</select>",
+                    "<select><optgroup label=a><option>one<optgroup label=b><option>two</option></select>",
+                    "<datalist><option>one</option><option>two</datalist>", "<nav><button>menu</nav>", "<div><select><option>one</div>",
+                    "<svg><g><svg><text>no</text></svg></g><text>no</text></svg>", "<button><div>icon</div>menu</button>",
+                    "<object><p>no</p></div></object>", "<button>menu", "<canvas>", "<video><source src=x>"):
+        assert page_text(f"<body><p>Before.</p>{skipped}{story}<div>After <button>no</button>it.</div>") == "Before.\nThe story.\nAfter it.", skipped
+    assert page_text(f"<p>Before.<script>no{story}") == "Before."
+    assert page_text(f"<p>Before.<textarea>no{story}") == "Before."
