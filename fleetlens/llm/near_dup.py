@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tables import arrow_map, components, small_batches, without_rows
+from fleetlens.llm.tables import arrow_map, components, single_rows, small_batches, without_rows
 from fleetlens.llm.words import find_words, mix, slices, text_bytes
 from fleetlens.session import durable
 
@@ -321,13 +321,23 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
     group. Repeated rows stay repeated and are kept or not together, since they share their
     doc_id. Other columns are not read. An empty table gives an empty result.
     """
-    return _named(documents, size, percent, cluster_limit).drop("text_hash")
+    return _named(documents, size, percent, cluster_limit).drop("text_hash", "root")
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
                          cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
-    """``documents`` with only the document of each group that ``near_duplicates`` keeps; all columns stay."""
-    return without_rows(documents, _named(documents, size, percent, cluster_limit).filter("NOT kept"))
+    """``documents`` with exactly one row of each component of ``near_duplicates``; all columns stay.
+
+    The smallest doc_id stays (a null one only if the component has no other), of its texts the
+    one with the smallest hash, and of repeated rows one. Rows without words are linked with nothing, so all stay.
+    """
+    rows = durable(_named(documents, size, percent, cluster_limit).filter("n_shingles > 0")
+                   .groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    mate = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("of"), "first")
+    marked = durable(rows.join(mate, F.col("root") == F.col("of")).select(
+        "doc_id", "text_hash", "n", (order == F.col("first")).alias("chosen")))
+    return single_rows(without_rows(documents, marked.filter("NOT chosen")), marked.filter("chosen AND n > 1"))
 
 
 def _named(documents: DataFrame, size: int, percent: int, cluster_limit: int) -> DataFrame:
@@ -341,9 +351,9 @@ def _named(documents: DataFrame, size: int, percent: int, cluster_limit: int) ->
     named = classes.select("cid", "k1", "k2", "doc_id").join(found, "cid", "left").withColumn(
         "root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(smallest, "root").select("k1", "k2", "component_id")
+    names = named.join(smallest, "root").select("k1", "k2", "component_id", "root")
     own = docs.select("doc_id", "text_hash", "n_shingles", "k1", "k2")
-    cols = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    cols = ["doc_id", "text_hash", "n_shingles", "component_id", "root"]
     some = own.filter("n_shingles > 0").join(names, ["k1", "k2"]).select(cols)
-    none = own.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(cols)
+    none = own.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long")).select(cols)
     return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

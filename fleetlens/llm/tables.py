@@ -56,6 +56,24 @@ def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
     return left.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
 
 
+def single_rows(documents: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``documents`` with one of the rows of each (doc_id, hash of text) in ``repeated`` (doc_id, text_hash), a written table.
+
+    Of rows that differ in other columns the one with the smallest hash of them stays.
+    """
+    if repeated.isEmpty():
+        return documents
+    keys = repeated.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    keys = F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_"})
+    same = docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = (docs.join(keys, same).groupBy("_doc", "_hash")  # a minimum on the map side first
+           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row")).select("row.*"))
+    out = docs.join(keys, same, "left_anti").unionByName(one)
+    return out.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges`` (a, b: long, not null).
 

@@ -1,6 +1,6 @@
 """Cases where an operator once did less than the whole job."""
 
-from fleetlens.llm import html_text
+from fleetlens.llm import html_text, near_dup
 
 
 # --- pages ------------------------------------------------------------------------------------
@@ -43,3 +43,19 @@ def test_skipped_elements_without_end_tag():
         assert page_text(f"<body><p>Before.</p>{skipped}{story}<div>After <button>no</button>it.</div>") == "Before.\nThe story.\nAfter it.", skipped
     assert page_text(f"<p>Before.<script>no{story}") == "Before."
     assert page_text(f"<p>Before.<textarea>no{story}") == "Before."
+
+
+# --- near-duplicates --------------------------------------------------------------------------------
+
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = ([(1, base, {"k": 1})] * 3 + [(1, base + " x", {}), (2, base, {})] + [(None, "of nobody at all here " + base[::-1], {})] * 50
+            + [(None, "another group of nobody", {})] * 2 + [(None, base, {}), (7, "alone here and there", {}), (8, "", {}), (8, "", {}), (9, None, {})])
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc map<string,int>").repartition(5)
+    out = near_dup.drop_near_duplicates(df)
+    assert out.dtypes == df.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    first = [x for x in got if x[0] == 1]
+    assert len(first) == 1 and first[0][1] in (base, base + " x")
+    assert [x for x in got if x[0] != 1] == sorted(
+        [(7, "alone here and there"), (8, ""), (8, ""), (9, None), (None, "another group of nobody"), (None, rows[10][1])], key=repr)
