@@ -29,6 +29,17 @@ class Rule:
     least: int = 1
 
 
+# A private key reaches from its BEGIN line to the matching END line if only the key can be between
+# them (no other run of five dashes). Else it reaches over header lines to the last line of base64;
+# a short one counts as the last if it stands alone on its line. Lines may be quoted or escaped as in JSON.
+# Possessive repeats never go back, so a text is read a fixed number of times.
+_BREAK = r"""(?:[ \t\r\n>"',]|\\+[nrt])"""
+_LINE = r"""[ \t"',]*+(?:\r?\n|(?:\\+r)?\\+n)[ \t>"',]*+"""
+_PRIVATE = (r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:"
+            r"[^-]*+(?:-(?!----)[^-]*+)*+-----END \1PRIVATE KEY-----|"
+            rf"(?:(?:{_LINE}[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/]{{20,}}+={{0,2}})++"
+            rf"""(?:{_LINE}[A-Za-z0-9+/]++={{0,2}}(?=[ \t\r\n"',\\]|$))?)?)""")
+
 # fixed values: the first three kinds are given, the others add well-known key formats.
 # A run of hex digits or of access key characters is matched whole, so a length within the
 # pattern finds what a filter behind it would leave.
@@ -36,7 +47,7 @@ RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private", _PRIVATE),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )

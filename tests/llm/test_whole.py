@@ -1,6 +1,6 @@
 """Cases where an operator once did less than the whole job."""
 
-from fleetlens.llm import html_text, near_dup
+from fleetlens.llm import html_text, near_dup, secrets
 
 
 # --- pages ------------------------------------------------------------------------------------
@@ -45,6 +45,25 @@ def test_skipped_elements_without_end_tag():
     assert page_text(f"<p>Before.<textarea>no{story}") == "Before."
 
 
+# --- secrets ------------------------------------------------------------------------------------
+
+def test_private_keys_are_masked_to_their_end(spark):
+    line, short, begin, end = "MIIEpAIBAAKCAQEA" * 4, "Qk3fA9==", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([line] * 25 + [short])
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    cases = [(f"a {begin}\n{body}\n{end} b", "a [R] b"), (f"a\r\n{begin}\r\n{headers}{body}\r\n{end}\r\nb", "a\r\n[R]\r\nb"),
+             (f"a {begin} {body.replace(chr(10), ' ')} {end} b", "a [R] b"), (f'"{begin}\\n{line}\\n{short}\\n{end}\\n"', '"[R]\\n"'),
+             (f"> {begin}\n> {line}\n> {short}\n> {end}\nb", "> [R]\nb"), (f"a {begin}\n{body}\n\nNow some text.", "a [R]\n\nNow some text."),
+             (f"a {begin}\n{headers}{body}", "a [R]"), (f'"{begin}\\n{line}\\n{short}\\n", x', '"[R]\\n", x'),
+             (f"{begin}\n{line}\n{begin}\n{line}\n{end}", "[R]\n[R]"), (f"{begin}\n{line}\n-----END PRIVATE KEY-----", "[R]\n-----END PRIVATE KEY-----"),
+             (f"A file with {begin} holds a key.", "A file with [R] holds a key."), (f"{begin}\n{'-a' * 50_000}", "[R]\n" + "-a" * 50_000),
+             (f"{begin}\n{'a-' * 50_000}\n{end}x", "[R]x"), (f"{begin}\n{(line + chr(10)) * 5000}", "[R]\n"), (f"{begin} " * 3000, "[R] " * 3000)]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df, "[R]").collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, i
+
+
 # --- near-duplicates --------------------------------------------------------------------------------
 
 def test_one_row_of_each_component_stays(spark):
