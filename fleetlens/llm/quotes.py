@@ -1,9 +1,11 @@
 """Conversations in reply order, linked by quotations and freed of them.
 
 Lines that start with ``>`` marks are quoted, one level for each mark. The sentences of a message's
-own text and of each quoted passage are normalised and hashed; a quoted sentence points to the
-first message of the conversation that said it. The message whose sentences are quoted most at
-the outermost level is the one replied to. Reply chains are resolved by pointer doubling.
+own text and of each quoted passage are normalised and hashed, and so is every whole passage as a run
+of sentences. A passage that an earlier message of the conversation said as a run points to the
+latest one that did, of another passage each sentence does. What only one earlier message said
+counts first, anything else by its rarity. The message quoted most at the outermost level is the
+one replied to. Reply chains are resolved by pointer doubling.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ordered import rank_in_group
+from fleetlens.functions.ordered import broadcast_if_small, clamped_totals, rank_in_group
 from fleetlens.llm.tables import arrow_map
 from fleetlens.session import durable
 
@@ -69,27 +71,62 @@ def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
     for text in batch.column("text").to_pylist():
         mine, quotes = split_quotes(text or "")
         own.append(mine if text is not None else None)
-        said.append(sorted({_hash(s) for s in sentences(mine)}))
+        said.append([_hash(s) for s in sentences(mine)])
         passages.append(len(quotes))
-        quoted.append([{"level": level, "hash": _hash(s), "chars": len(s)} for level, q in quotes for s in sentences(q)])
-    kind = pa.list_(pa.struct([("level", pa.int64()), ("hash", pa.int64()), ("chars", pa.int64())]))
+        parts = [(level, sentences(q)) for level, q in quotes]
+        quoted.append([{"level": level, "hashes": [_hash(s) for s in q], "chars": [len(s) for s in q]} for level, q in parts if q])
+    kind = pa.list_(pa.struct([("level", pa.int64()), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int64()))]))
     return pa.RecordBatch.from_arrays(
         [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(own, pa.string()),
          pa.array(said, pa.list_(pa.int64())), pa.array(quoted, kind), pa.array(passages, pa.int64())],
         ["conv_id", "turn", "role", "text", "said", "quoted", "n_quotes"])
 
 
+def _said(messages: DataFrame, passages: DataFrame) -> DataFrame:
+    """``conv_id, key, turn`` of the sentences, and of the runs as long as some quoted passage, that are quoted and said."""
+    long = F.size("hashes") > 1
+    sizes = broadcast_if_small(durable(passages.filter(long).select("conv_id", F.size("hashes").alias("size")).distinct()))
+    starts = F.sequence(F.lit(1), F.size("said") - F.col("size") + 1)
+    runs = messages.join(sizes, "conv_id").filter(F.size("said") >= F.col("size")).select(
+        "conv_id", "turn", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("said", i, F.col("size"))))).alias("key"))
+    keys = passages.select("conv_id", F.explode(F.concat("hashes", F.array("run"))).alias("key")).distinct()
+    said = messages.select("conv_id", "turn", F.explode("said").alias("key")).union(runs)
+    return said.join(broadcast_if_small(durable(keys)), ["conv_id", "key"], "left_semi").select("conv_id", "key", "turn").distinct()
+
+
+def _speakers(messages: DataFrame, passages: DataFrame) -> DataFrame:
+    """``conv_id, turn, key, speakers, speaker``: how many earlier turns said what a turn quotes, and the latest of them."""
+    said = _said(messages, passages).withColumn("one", F.lit(1))
+    asked = passages.select("conv_id", F.explode(F.concat("hashes", F.array("run"))).alias("key"), "turn").distinct()
+    # at equal turns the question comes first, so a message does not answer its own quotation
+    counted = durable(clamped_totals(said.union(asked.withColumn("one", F.lit(0))), ["conv_id", "key"],
+                                     [F.col("turn").asc(), F.col("one").asc()], {"speakers": "one"}))
+    latest = counted.filter("one = 1").select("conv_id", "key", "speakers", F.col("turn").alias("speaker"))
+    return counted.filter("one = 0 AND speakers > 0").join(latest, ["conv_id", "key", "speakers"]).select(
+        "conv_id", "turn", "key", "speakers", "speaker")
+
+
 def reply_links(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, reply_to, n_linked`` of messages that quote an earlier one."""
-    first = (messages.select("conv_id", "turn", F.explode("said").alias("hash"))
-             .groupBy("conv_id", "hash").agg(F.min("turn").alias("first")))
-    quotes = messages.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.chars").alias("chars"))
-    found = quotes.join(first, ["conv_id", "hash"]).filter("first < turn")
-    votes = found.groupBy("conv_id", "turn", "level", "first").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("level"), "chars", "first"))
+    run = F.when(F.size("hashes") > 1, F.xxhash64("hashes")).otherwise(F.element_at("hashes", 1))
+    passages = durable(messages.select("conv_id", "turn", F.inline("quoted")).withColumn("run", run))
+    if passages.isEmpty():
+        return messages.limit(0).select("conv_id", "turn", F.col("turn").alias("reply_to"), F.col("turn").alias("n_linked"))
+    found = durable(_speakers(messages, passages))
+    whole = passages.join(found.withColumnRenamed("key", "run"), ["conv_id", "turn", "run"], "left")
+    runs = whole.filter("speaker IS NOT NULL").select(
+        "conv_id", "turn", "level", "speaker", "speakers", F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"),
+        F.size("hashes").cast("long").alias("n"))
+    single = whole.filter("speaker IS NULL").select(
+        "conv_id", "turn", "level", F.inline(F.arrays_zip(F.col("hashes").alias("key"), F.col("chars").alias("chars"))))
+    votes = runs.union(single.join(found, ["conv_id", "turn", "key"]).select(
+        "conv_id", "turn", "level", "speaker", "speakers", "chars", F.lit(1).cast("long").alias("n")))
+    votes = votes.groupBy("conv_id", "turn", "level", "speaker").agg(
+        F.sum(F.when(F.col("speakers") == 1, F.col("chars")).otherwise(0)).alias("sure"),
+        F.sum(F.expr("chars * 1000000 div speakers")).alias("share"), F.sum("n").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("level"), "sure", "share", "speaker"))
     return votes.groupBy("conv_id", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select(
-        "conv_id", "turn", F.col("b.first").alias("reply_to"), "n_linked")
+        "conv_id", "turn", F.col("b.speaker").alias("reply_to"), "n_linked")
 
 
 def resolve(links: DataFrame) -> DataFrame:
@@ -109,7 +146,8 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     """``conv_id, turn, role, reply_to, thread, depth, position, n_quotes, n_linked, text`` for every message.
 
     ``text`` is the message without quotations. ``reply_to`` is the turn of the message that is
-    quoted most at the lowest quotation level (of equals the later one), null without a link;
+    quoted most at the lowest quotation level, by the characters of what no other earlier message said,
+    then of all that points to it, each divided by how many said it (of equals the later one), null without a link;
     only earlier turns of the same conversation are linked. ``thread`` is the turn at the root of
     the reply chain and ``depth`` the distance from it. ``position`` counts the messages of a
     conversation from 1 by thread, depth and turn, so a reply follows what it replies to and a
@@ -123,7 +161,7 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     messages = durable(arrow_map(
         conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"), _parsed,
         "conv_id long, turn long, role string, text string, said array<long>, "
-        "quoted array<struct<level:long,hash:long,chars:long>>, n_quotes long").withColumn("row", F.monotonically_increasing_id()))
+        "quoted array<struct<level:long,hashes:array<long>,chars:array<long>>>, n_quotes long").withColumn("row", F.monotonically_increasing_id()))
     links = durable(reply_links(messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")))
     known = links.join(resolve(links), ["conv_id", "turn"])
     rows = messages.join(known, ["conv_id", "turn"], "left").select(

@@ -1,6 +1,6 @@
 """Cases where an operator once did less than the whole job."""
 
-from fleetlens.llm import html_text, near_dup, secrets
+from fleetlens.llm import html_text, near_dup, quotes, secrets
 
 
 # --- pages ------------------------------------------------------------------------------------
@@ -78,3 +78,18 @@ def test_one_row_of_each_component_stays(spark):
     assert len(first) == 1 and first[0][1] in (base, base + " x")
     assert [x for x in got if x[0] != 1] == sorted(
         [(7, "alone here and there"), (8, ""), (8, ""), (9, None), (None, "another group of nobody"), (None, rows[10][1])], key=repr)
+
+
+# --- conversations ------------------------------------------------------------------------------------
+
+def test_repeated_sentences_do_not_outvote_the_quoted_message(spark):
+    sig = "Best regards from the whole team of the service desk in town."
+    own = "The disk of host seven is full again."
+    texts = ["Welcome. " + sig, "Yes. No.", own + " " + sig, "Maybe. Yes.", "No. Fine. " + sig,
+             f"> {own}\n> {sig}\nWhy?", f"> {own}\nWhat?\n> {sig}\nAnd this?", "> Yes. No.\nBoth?", "> Yes.\nSure?",
+             f"> {sig}\nThanks.", "> Yes. Never said.\nHow?", "> Never said.\nx", "> Yes. No. Welcome.\ny"]
+    rows = [(c, i, "u", t) for c in (1, 2) for i, t in enumerate(texts)]
+    out = quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = {5: (2, 2), 6: (2, 2), 7: (1, 2), 8: (3, 1), 9: (4, 1), 10: (3, 1), 12: (0, 3)}
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in out if r.reply_to is not None} == {
+        (c, t): v for c in (1, 2) for t, v in want.items()}
