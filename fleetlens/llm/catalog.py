@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_text, near_dup, packing, quality_model, quality_rules, quotes, secrets, substring_dedup, url_filters
+from fleetlens.llm import decontaminate, html_text, near_dup, packing, quality_model, quality_rules, quotes, ranked_search, secrets, substring_dedup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -94,3 +94,25 @@ def _(spark, d):
 @query("op9_chat_formatting")
 def _(spark, d):
     return quotes.reply_order(table(spark, d, "conversations"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op13_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '{TERM}') AS ts FROM documents),
+t AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY r, term),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM (SELECT r, any_value(n) AS n FROM tf GROUP BY r)),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+i AS (SELECT row_number() OVER () AS item, item_id,
+             regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '{TERM}') AS ts FROM benchmark),
+it AS (SELECT DISTINCT item, item_id, unnest(ts) AS term FROM i),
+s AS (SELECT item, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+      FROM it JOIN tf USING (term) JOIN w USING (term), total GROUP BY item, r)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50""")
+def _(spark, d):
+    return ranked_search.ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))

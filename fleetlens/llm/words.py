@@ -74,8 +74,11 @@ def slices(at: np.ndarray, limit: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def find_words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``buf[at[i]:at[i + 1]]``; byte spans are positions in ``buf``."""
+def find_words(buf: np.ndarray, at: np.ndarray, lower: bool = False, chars: np.ndarray = _WORD_BYTE) -> Words:
+    """Words of the texts ``buf[at[i]:at[i + 1]]``; byte spans are positions in ``buf``.
+
+    ``chars`` says which of the 256 bytes belong to words; those of multi-byte characters go together.
+    """
     lo, hi = int(at[0]), int(at[-1])
     table = _BYTE_LOWER if lower else _BYTE
     hashes, starts, ends = [], [], []
@@ -83,7 +86,7 @@ def find_words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
     while lo < hi:
         top = min(hi, lo + PIECE)
         part = buf[lo:top]
-        inside = _WORD_BYTE[part]
+        inside = chars[part]
         if top < hi and inside[-1] and top not in at:  # do not cut a word
             gaps = np.flatnonzero(~inside)
             cuts = bounds[np.searchsorted(bounds, lo, "right"):np.searchsorted(bounds, top, "right")]
@@ -91,8 +94,8 @@ def find_words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
             if cut == lo:  # one word longer than a piece
                 end = top
                 stop = int(bounds[np.searchsorted(bounds, lo, "right")])
-                while end < stop and _WORD_BYTE[buf[end]]:
-                    step = _WORD_BYTE[buf[end:min(stop, end + PIECE)]]
+                while end < stop and chars[buf[end]]:
+                    step = chars[buf[end:min(stop, end + PIECE)]]
                     end += int(np.argmin(step)) if not step.all() else len(step)
                 hashes.append(np.array([_long(buf[lo:end], lower)], np.uint64))
                 starts.append(np.array([lo]))
