@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_text, near_dup, packing, quality_model, quality_rules, quotes, ranked_search, secrets, substring_dedup, url_filters
+from fleetlens.llm import decontaminate, html_text, near_dup, packing, periodic_runs, quality_model, quality_rules, quotes, ranked_search, secrets, substring_dedup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -116,3 +116,34 @@ SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_i
 FROM s WHERE score > 0 QUALIFY rank <= 50""")
 def _(spark, d):
     return ranked_search.ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """``documents`` whose ids have a checksum that ends in 0 get a periodic tail, as the query asks for."""
+    def rewritten(v):
+        a = v.g % v.n
+        p = 1 + F.floor((v.n - a) / (3 + v.g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), v.n - 1), lambda i: F.element_at(
+            v.words, F.when(i < a, i + 1).otherwise(a + (i - a) % p + 1).cast("int"))), " ")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    value = F.transform(F.array(words), lambda w: F.struct(
+        w.alias("words"), F.size(w).cast("bigint").alias("n"), F.floor(h / 10).alias("g")))
+    tail = F.element_at(F.transform(value, lambda v: F.when(v.n > 0, rewritten(v))), 1)
+    return documents.withColumn("text", F.when(h % 10 == 0, F.coalesce(tail, F.col("text"))).otherwise(F.col("text")))
+
+
+@query("op12_periodic_runs")
+def _(spark, d):
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, d, "documents")))
+
+    def ahead(a, b):  # length / period falls, then start and period rise
+        return a.length * b.period - b.length * a.period
+    order = F.element_at(F.array_sort("runs", lambda a, b: F.when(ahead(a, b) > 0, -1).when(ahead(a, b) < 0, 1).when(
+        a.start < b.start, -1).when(a.start > b.start, 1).when(a.period < b.period, -1).when(a.period > b.period, 1).otherwise(0)), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", F.when(F.size("runs") > 0, order)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
