@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_text, near_dup, packing, periodic_runs, quality_model, quality_rules, quotes, ranked_search, secrets, substring_dedup, url_filters
+from fleetlens.llm import decontaminate, html_text, near_dup, packing, periodic_runs, personal_data, quality_model, quality_rules, quotes, ranked_search, secrets, substring_dedup, url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -147,3 +147,12 @@ def _(spark, d):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op11_personal_data")
+def _(spark, d):
+    found = personal_data.find_personal_data(table(spark, d, "documents"))
+    return found.select(
+        "doc_id", *[secrets.count_kind(F.col("base"), n).alias(f"n_{k}") for n, k in enumerate(personal_data.KINDS)],
+        F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.spans_text(F.col("spans")).alias("spans"))
