@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from fleetlens.operators import agents, config, health, lifecycle, logs, placement, registry, status
 from fleetlens.plans import views as v
 from fleetlens.plans.views import BOOT_MS, SHORT_MS, with_views
-from fleetlens.session import durable
+from fleetlens.session import durable, ensure_checkpoint_dir
 from fleetlens.sources import heartbeats, history
+from fleetlens.streaming import streams
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -811,6 +813,30 @@ def _(spark, d):
     return agents.sequence_breaks(v.heartbeat(spark, d))
 
 
+def streamed(df: DataFrame, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Result of a stream over the rows of ``df``, all of them read and then stopped; lies in the checkpoint folder."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}"
+    df.write.parquet(f"{folder}/in")
+    streams.use_rocksdb(spark)
+    out = stream(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+# the last hour stays behind the watermark, which goes by whole slots
+@query("sequence_breaks_stream", with_views("heartbeat", f"""
+    t AS (SELECT *, epoch_ms(ts) AS at_ms FROM heartbeat),
+    passed AS (SELECT * FROM t WHERE at_ms < (SELECT (max(at_ms) - 3600000) // {3600000 // streams.SLOTS} * {3600000 // streams.SLOTS} FROM t))
+    SELECT CAST(label AS VARCHAR) AS label, seq, response_id, previous_id
+    FROM (SELECT *, lag(response_id) OVER (PARTITION BY label ORDER BY seq) AS previous_id FROM passed)
+    WHERE response_id <> previous_id + 1""", recursive=True))
+def _(spark, d):
+    beats = v.heartbeat(spark, d).select(F.col("label").cast("string").alias("label"), "seq", "ts", "response_id")
+    return streamed(beats, lambda df: streams.stream_sequence_breaks(df, delay="1 hour", retention_ms=None))
+
+
 COMPONENT_SQL = """
     n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS i FROM reports),
     walk AS (

@@ -2,12 +2,16 @@
 
 Rows of a key are held back until the watermark has passed them, then folded in ``seq``
 order, so a stream gives the batch result for any arrival order within the allowed
-delay. What is held per key is one delay's worth of rows; what is remembered is a small
-fixed state. Spark partitions by key, keeps the state and handles recovery.
+delay. Waiting rows lie in map state under their time slot and the call that brought them;
+a call writes what it brings, reads the slots that are due and touches no others, so its
+cost does not depend on the rows that still wait. What is remembered is a small fixed
+state, which ends ``retention_ms`` after the last row of a key that has nothing open.
+Spark partitions by key, keeps the state and handles recovery.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +19,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from fleetlens.operators.agents import MAX_FAILURES, next_command_of, step_state
 
+DAY_MS = 86_400_000
+RETENTION_MS = 7 * DAY_MS
+SLOT_MS = 10_000
 _CASTS = {"bigint": int, "int": int, "string": str, "boolean": bool}
 
 
@@ -25,13 +32,18 @@ def _fields(schema: str) -> list[tuple[str, type]]:
 class OrderedFold(StatefulProcessor):
     """Base class: subclasses give schemas and ``start``, ``step`` and ``settle``.
 
-    ``row_schema`` must contain ``seq`` and ``at_ms`` (event time in milliseconds).
+    ``row_schema`` must contain ``seq`` and ``at_ms`` (event time in milliseconds). Rows are
+    folded when their whole slot of ``slot_ms`` lies behind the watermark. With
+    ``retention_ms`` (None: never) a key is forgotten that long after its last row in event
+    time, unless ``is_open`` says that something is still expected of it.
     """
 
     key_schema: str
     row_schema: str
     memory_schema: str
     output_schema: str
+    slot_ms = SLOT_MS
+    retention_ms: int | None = RETENTION_MS
 
     def start(self) -> dict:
         raise NotImplementedError
@@ -41,56 +53,93 @@ class OrderedFold(StatefulProcessor):
         raise NotImplementedError
 
     def settle(self, memory: dict, now: int) -> list[dict]:
-        """Output after the rows of one call; ``now`` is the watermark."""
+        """Output after the rows of one call; all rows before ``now`` are folded."""
         return []
 
     def wake_at(self, memory: dict) -> int | None:
         """Another time at which ``settle`` should be called."""
         return None
 
+    def is_open(self, memory: dict) -> bool:
+        """Whether the key must be remembered however long nothing comes."""
+        return False
+
+    def forget(self) -> None:
+        """Clear further state of a key that ends."""
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.memory = handle.getValueState("memory", self.memory_schema)
+        self.waiting = handle.getMapState("waiting", "slot bigint,part bigint", "rows string")
+        self.slots = handle.getValueState("slots", "parts string")  # {slot: parts in it}, one entry per waiting slot
+        self.memory = handle.getValueState("memory", self.memory_schema + ",touched_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fields = _fields(self.row_schema)
+        at = [n for n, _ in fields].index("at_ms")
+        brought: dict[int, list] = {}
         for pdf in rows:
-            plain = [tuple(None if pd.isna(x) else cast(x) for x, (_, cast) in zip(r, fields))
-                     for r in pdf[[n for n, _ in fields]].itertuples(index=False, name=None)]
-            self.waiting.appendList(plain)
-        return self._advance(key, timerValues.getCurrentWatermarkInMs())
+            for r in pdf[[n for n, _ in fields]].itertuples(index=False, name=None):
+                plain = [None if pd.isna(x) else cast(x) for x, (_, cast) in zip(r, fields)]
+                brought.setdefault(plain[at] // self.slot_ms, []).append(plain)
+        parts = self._parts()
+        for slot, some in brought.items():
+            n = parts.get(slot, 0)
+            self.waiting.updateValue((slot, n), (json.dumps(some),))
+            parts[slot] = n + 1
+        return self._advance(key, timerValues.getCurrentWatermarkInMs(), parts, bool(brought))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._advance(key, timerValues.getCurrentWatermarkInMs())
+        return self._advance(key, timerValues.getCurrentWatermarkInMs(), self._parts(), False)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, now: int) -> Iterator[pd.DataFrame]:
+    def _parts(self) -> dict[int, int]:
+        return {int(s): n for s, n in json.loads(self.slots.get()[0]).items()} if self.slots.exists() else {}
+
+    def _due(self, parts: dict[int, int], before: int) -> list[dict]:
+        """Rows of all slots before ``before``, which leave the state."""
         names = [n for n, _ in _fields(self.row_schema)]
-        held = [dict(zip(names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in held if r["at_ms"] <= now), key=lambda r: r["seq"])
-        later = [r for r in held if r["at_ms"] > now]
-        slots = [n for n, _ in _fields(self.memory_schema)]
-        memory = dict(zip(slots, self.memory.get())) if self.memory.exists() else self.start()
+        due = []
+        for slot in [s for s in parts if s < before]:
+            for n in range(parts.pop(slot)):
+                due += [dict(zip(names, r)) for r in json.loads(self.waiting.getValue((slot, n))[0])]
+                self.waiting.removeKey((slot, n))
+        return sorted(due, key=lambda r: r["seq"])
+
+    def _advance(self, key, watermark: int, parts: dict[int, int], brought: bool) -> Iterator[pd.DataFrame]:
+        current = watermark // self.slot_ms
+        now = current * self.slot_ms
+        due = self._due(parts, current)
+        names = [n for n, _ in _fields(self.memory_schema)] + ["touched_ms"]
+        known = self.memory.exists()
+        memory = dict(zip(names, self.memory.get())) if known else {**self.start(), "touched_ms": None}
         out: list[dict] = []
         for row in due:
             out += self.step(memory, row)
+            memory["touched_ms"] = max(row["at_ms"], memory["touched_ms"] or row["at_ms"])
         out += self.settle(memory, now)
-        if due or self.memory.exists():
-            self.memory.update(tuple(memory[n] for n in slots))
-        if due:
-            if later:
-                self.waiting.put([tuple(r[n] for n in names) for r in later])
+        ends = None
+        if (known or due) and self.retention_ms is not None and not self.is_open(memory):
+            ends = memory["touched_ms"] + self.retention_ms
+        if ends is not None and ends < now and not parts:
+            self.memory.clear()
+            self.forget()
+            ends = None
+        elif known or due:
+            self.memory.update(tuple(memory[n] for n in names))
+        if brought or due:
+            if parts:
+                self.slots.update((json.dumps(parts),))
             else:
-                self.waiting.clear()
+                self.slots.clear()
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        wakes = [r["at_ms"] for r in later]
-        extra = self.wake_at(memory)
-        if extra is not None and extra > now:
-            wakes.append(extra)
+        # timers stand at the end of a slot, when ``now`` has reached the time they wait for
+        wakes = [(min(parts) + 1) * self.slot_ms] if parts else []
+        for extra in (self.wake_at(memory) if known or due else None, ends):
+            if extra is not None and extra >= now:
+                wakes.append((extra // self.slot_ms + 1) * self.slot_ms)
         if wakes:
             self.handle.registerTimer(min(wakes))
         keyed = dict(zip([n for n, _ in _fields(self.key_schema)], key))
@@ -139,6 +188,9 @@ class ContainerFold(OrderedFold):
             gone = m["allocated"] and before is None and m["outcome"] is not None
         return [{**row, "effect": effect, "gone": gone}]
 
+    def is_open(self, m: dict) -> bool:
+        return m["allocated"] and m["outcome"] is None and not m["start_failed"]
+
     def _complete(self, m: dict, at_ms: int) -> str:
         if m["outcome"] is None and (m["allocated"] or m["surplus"]):
             m["outcome"] = "released" if m["releasing"] else "surplus" if m["surplus"] else "failed"
@@ -156,7 +208,8 @@ class ContainerFold(OrderedFold):
 class CellFold(OrderedFold):
     """Counters of one (role_id, host) cell, as in ``placement.placement_cells``.
 
-    ``seq`` is the last transition counted; the row with the highest one is the newest.
+    ``seq`` is the last transition counted; the row with the highest one is the newest. A free
+    cell that is not used for the retention time is forgotten, as ``placement.purge_cells`` does.
     """
 
     key_schema = "role_id int,host bigint"
@@ -197,11 +250,35 @@ class CellFold(OrderedFold):
         m["seq"], m["moved"] = row["seq"], True
         return []
 
+    def is_open(self, m: dict) -> bool:
+        return m["starting"] > 0 or m["live"] != m["releasing"]
+
     def settle(self, m: dict, now: int) -> list[dict]:
         moved, m["moved"] = m["moved"], False
         return [dict(m)] if moved else []
 
 
+class SequenceFold(OrderedFold):
+    """Heartbeats whose id does not follow the one before, as in ``agents.sequence_breaks``.
+
+    An agent that is silent for the retention time is forgotten; its next id breaks nothing.
+    """
+
+    key_schema = "label string"
+    row_schema = "response_id bigint,seq bigint,at_ms bigint"
+    memory_schema = "previous_id bigint"
+    output_schema = "label string,seq bigint,response_id bigint,previous_id bigint"
+
+    def start(self) -> dict:
+        return {"previous_id": None}
+
+    def step(self, m: dict, row: dict) -> list[dict]:
+        before, m["previous_id"] = m["previous_id"], row["response_id"]
+        if before is None or row["response_id"] is None or row["response_id"] == before + 1:
+            return []
+        return [{**row, "previous_id": before}]
+
+
 class ComponentFold(OrderedFold):
     """State of one component, as in ``agents.component_state``."""
 
@@ -247,6 +324,9 @@ class SilenceFold(OrderedFold):
         limit = self.limits.get(m["phase"])
         return None if limit is None or m["told"] else m["at_ms"] + limit
 
+    def is_open(self, m: dict) -> bool:
+        return self.wake_at(m) is not None
+
     def settle(self, m: dict, now: int) -> list[dict]:
         due = self.wake_at(m)
         if due is None or now < due:
@@ -281,6 +361,9 @@ class PhaseFold(OrderedFold):
         super().init(handle)
         self.booted = handle.getMapState("booted", "probe bigint", "seq bigint")
 
+    def forget(self) -> None:
+        self.booted.clear()
+
     def start(self) -> dict:
         return {"phase": "DEPENDENCY_CHECKING", "cycle": None, "end_ms": None, "ran": 0, "failed": 0,
                 "boot_start_ms": None, "fatal": False}
@@ -319,21 +402,23 @@ class PhaseFold(OrderedFold):
 class ReportDrain(StatefulProcessor):
     """Newest report of each task, sent with every trigger that has one.
 
-    A finished or status report is sent once; its number is remembered (for ``retention_ms``
-    if given) so that older reports that come late are dropped. A running one is sent again every
-    ``resend_ms`` until something newer comes.
+    A finished or status report is sent once; its number is remembered, so that older reports that
+    come late are dropped. A running one is sent again every ``resend_ms`` until something newer
+    comes. With ``retention_ms`` a task is forgotten that long after its last report: in event time
+    if the rows have ``at_ms``, else by the clock, for which a running task counts as long as it is sent.
     """
 
     memory_schema = "seq bigint,command_type string,status string,exit_code int,stdout string"
     columns = [n for n, _ in _fields(memory_schema)]
     output_schema = "task_id bigint," + memory_schema
 
-    def __init__(self, resend_ms: int | None = None, retention_ms: int | None = None):
-        self.resend_ms, self.retention_ms = resend_ms, retention_ms
+    def __init__(self, resend_ms: int | None, retention_ms: int | None, event_time: bool):
+        self.resend_ms, self.retention_ms, self.event_time = resend_ms, retention_ms, event_time
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.memory_schema, *([self.retention_ms] if self.retention_ms else []))
+        by_clock = self.retention_ms and not self.event_time
+        self.held = handle.getValueState("held", self.memory_schema, *([self.retention_ms] if by_clock else []))
 
     @staticmethod
     def _running(report: tuple) -> bool:
@@ -349,15 +434,23 @@ class ReportDrain(StatefulProcessor):
         held = self.held.get() if self.held.exists() else None
         if held is not None and held[0] >= report[0]:
             return
-        if self._running(report) and self.resend_ms and (held is None or not self._running(held)):
+        if self.event_time and self.retention_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(int(top["at_ms"]), timerValues.getCurrentWatermarkInMs()) + self.retention_ms)
+        elif self._running(report) and self.resend_ms and (held is None or not self._running(held)):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
         self.held.update(report)
         yield self._send(key, report)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists() and self._running(self.held.get()):
+        if self.event_time:
+            self.held.clear()
+        elif self.held.exists() and self._running(self.held.get()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.resend_ms)
-            yield self._send(key, self.held.get())
+            report = self.held.get()
+            self.held.update(report)  # begins its retention time anew
+            yield self._send(key, report)
 
     def close(self) -> None:
         pass

@@ -117,6 +117,42 @@ def test_component_state(spark, small, tmp_path):
     assert rows(got.filter("label <> 'end'"), *cols) == rows(agents.component_state(reports), *cols)
 
 
+def test_sequence_breaks(spark, small, tmp_path):
+    beats = v.heartbeat(spark, small).select(F.col("label").cast("string").alias("label"), "seq", "ts", "response_id")
+    stream = as_stream(spark, closing(beats, label="end", seq=-1, response_id=0), tmp_path)
+    got = run(streams.stream_sequence_breaks(stream, delay="400 days"), tmp_path)
+    cols = ("label", "seq", "response_id", "previous_id")
+    want = rows(agents.sequence_breaks(beats), *cols)
+    assert rows(got, *cols) == want and len(want) > 10
+
+
+def test_state_of_a_stream_ends(spark, tmp_path):
+    """Keys that are done leave the state store, those with something open stay."""
+    schema = "container_id string, role_id int, host long, event string, ts timestamp_ntz, seq long"
+    source = tmp_path / "in"
+
+    def put(*events):
+        made = spark.createDataFrame([(c, e, t, s) for c, e, t, s in events], "container_id string, event string, at string, seq long")
+        made.select("container_id", F.lit(1).alias("role_id"), F.lit(2).cast("long").alias("host"), "event",
+                    F.col("at").cast("timestamp_ntz").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(str(source))
+        q = (streams.stream_transitions(spark.readStream.schema(schema).parquet(str(source)), delay="1 hour")
+             .writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.exception() is None
+
+    def held():
+        state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "memory").load()
+        return sorted(r.c for r in state.select(F.col("key.container_id").alias("c")).collect())
+    put(("a", "ALLOCATED", "2020-01-01", 1), ("a", "COMPLETED", "2020-01-01 01:00:00", 2), ("b", "ALLOCATED", "2020-01-01", 3))
+    put(("c", "SURPLUS", "2020-01-03", 4))
+    assert held() == ["a", "b"]
+    put(("d", "SURPLUS", "2020-01-20", 5))
+    put(("d", "COMPLETED", "2020-02-20", 6))
+    put(("e", "SURPLUS", "2020-04-20", 7))
+    assert held() == ["b"]
+
+
 def test_silence(spark, small, tmp_path):
     statuses = v.statuses(spark, small)
     stream = as_stream(spark, closing(statuses, key=-1, seq=-1, phase="INIT"), tmp_path)
@@ -136,8 +172,13 @@ def test_phases(spark, small, tmp_path):
     assert rows(got.join(with_deps, "service"), *cols) == rows(want.join(with_deps, "service"), *cols)
 
 
+def timed_task_reports(spark, small):
+    return v.task_reports(spark, small).join(
+        v.table(spark, small, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+
+
 def test_drain(spark, small, tmp_path):
-    reports = v.task_reports(spark, small)
+    reports = timed_task_reports(spark, small)
     got = run(streams.stream_drain(as_stream(spark, reports, tmp_path, files=1)), tmp_path)
     cols = ("task_id", "part", "status", "exit_code", "stdout", "forgotten")
     assert rows(got, *cols) == rows(agents.drain_reports(reports), *cols)
@@ -159,14 +200,22 @@ def test_running_tasks_are_sent_again(spark, small, tmp_path):
 
 
 def test_late_older_report_is_dropped(spark, tmp_path):
-    schema = "task_id long, seq long, command_type string, status string, exit_code int, stdout string"
+    """A late report is dropped, and a task is forgotten when its retention time is over."""
+    schema = "task_id long, seq long, command_type string, status string, exit_code int, stdout string, ts timestamp_ntz"
     source = tmp_path / "late"
-    for k, row in enumerate([(1, 5, "EXECUTION", "COMPLETED", 0, "done"), (1, 3, "EXECUTION", "IN_PROGRESS", 0, "old")]):
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(source))
+    for row in [(1, 5, "EXECUTION", "COMPLETED", 0, "done", "2020-01-01"), (1, 3, "EXECUTION", "IN_PROGRESS", 0, "old", "2020-01-01"),
+                (2, 9, "STATUS", "COMPLETED", 0, "late", "2020-03-01")]:
+        spark.createDataFrame([row[:-1]], schema.rsplit(",", 1)[0]).withColumn("ts", F.lit(row[-1]).cast("timestamp_ntz")).coalesce(
+            1).write.mode("append").parquet(str(source))
         q = (streams.stream_drain(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("parquet")
              .option("path", str(tmp_path / "sent")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
         q.awaitTermination()
-    assert [r.status for r in spark.read.parquet(str(tmp_path / "sent")).collect()] == ["COMPLETED"]
+    assert [(r.task_id, r.status) for r in spark.read.parquet(str(tmp_path / "sent")).orderBy("task_id").collect()] == [
+        (1, "COMPLETED"), (2, "COMPLETED")]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "held").load()
+    assert [r.key.task_id for r in state.select("key").collect()] == [2]
+    with pytest.raises(ValueError):
+        streams.stream_drain(spark.readStream.schema(schema).parquet(str(source)).drop("ts"))
 
 
 def test_aggregates_take_streams(spark, small, tmp_path):
