@@ -78,9 +78,12 @@ def container_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def container_state(events: DataFrame) -> DataFrame:
-    """Current state of every container that was allocated."""
-    c = container_summary(events).filter(F.col("a").isNotNull())
+def container_state(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Current state of every container that was allocated.
+
+    ``summary`` is a written ``container_summary`` of the events that several operators share.
+    """
+    c = (container_summary(events) if summary is None else summary).filter(F.col("a").isNotNull())
     gone = F.col("e").isNotNull() & F.col("s").isNotNull()
     return c.select(
         "container_id", "role_id", "host",
@@ -94,7 +97,7 @@ def container_state(events: DataFrame) -> DataFrame:
     )
 
 
-def transitions(events: DataFrame, short_lived_ms: int = SHORT_LIVED_MS) -> DataFrame:
+def transitions(events: DataFrame, short_lived_ms: int = SHORT_LIVED_MS, summary: DataFrame | None = None) -> DataFrame:
     """Every life-cycle event with the effect it had.
 
     ASSIGNED, SURPLUS, STARTED, START_ERROR, START_FAILED, RELEASING, RELEASE_ERROR,
@@ -106,9 +109,9 @@ def transitions(events: DataFrame, short_lived_ms: int = SHORT_LIVED_MS) -> Data
     """
     ev, seq = F.col("event"), F.col("seq")
     rel = events.filter(ev.isin(*EVENTS))
-    summary = container_summary(events).select(
-        "container_id", "rows", "a", "u", "s", "f", "r", "e", "outcome", "start_ts")
-    j = join_counted(rel, durable(summary), ["container_id"], "rows", ["seq"])
+    steps = ("container_id", "rows", "a", "u", "s", "f", "r", "e", "outcome", "start_ts")
+    summary = durable(container_summary(events).select(*steps)) if summary is None else summary.select(*steps)
+    j = join_counted(rel, summary, ["container_id"], "rows", ["seq"])
     kind = (
         F.when(seq == F.col("e"), F.col("outcome"))
         .when((seq > F.col("e")) & ((F.col("outcome") == "failed") | F.col("f").isNotNull()), "failed")
@@ -164,16 +167,20 @@ def role_counters(trans: DataFrame) -> DataFrame:
         F.count_if(e == "RELEASED").alias("completed"),
         F.count_if(failed).alias("failed"),
         F.count_if(e.isin("FAILED_SHORT", "START_FAILED")).alias("start_failed"),
-        (F.count_if(e == "RELEASING") - F.count_if(e == "RELEASED")).alias("releasing"))
+        (F.count_if(e == "RELEASING") - F.count_if(e == "RELEASED")).alias("releasing"),
+        F.count_if(e.isin("RELEASED", "FAILED", "FAILED_SHORT", "UNKNOWN")).alias("completions"),
+        F.count_if(e.isin("STARTED", "START_ERROR")).alias("start_events"),
+        F.count_if(e == "START_FAILED").alias("failed_starts"), F.count_if(e == "SURPLUS").alias("surplus"),
+        F.count_if(e == "UNKNOWN").alias("unknown_completed"))
 
 
-def role_statistics(events: DataFrame, roles: DataFrame) -> DataFrame:
+def role_statistics(events: DataFrame, roles: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     """The eight counters of each role; ``roles(role_id, desired, requested)``.
 
     ``requested`` is all requests ever made. A container counts as live from its
-    assignment to its first end.
+    assignment to its first end. ``counters`` are ``role_counters`` that are there already.
     """
-    counters = role_counters(transitions(events))
+    counters = role_counters(transitions(events)) if counters is None else counters
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return roles.join(counters, "role_id", "left").select(
         "role_id",
@@ -184,17 +191,16 @@ def role_statistics(events: DataFrame, roles: DataFrame) -> DataFrame:
         zero("start_failed").alias("start_failed"))
 
 
-def application_statistics(events: DataFrame) -> DataFrame:
-    """Totals over all roles, with surplus and unknown completions."""
-    e = F.col("effect")
-    t = transitions(events)
-    return t.agg(
-        F.count_if(e.isin("RELEASED", "FAILED", "FAILED_SHORT", "UNKNOWN")).alias("completed"),
-        F.count_if(e.isin("FAILED", "FAILED_SHORT", "START_FAILED")).alias("failed"),
-        F.count_if(F.col("event") == "STARTED").alias("started"),
-        F.count_if(e == "START_FAILED").alias("start_failed"),
-        F.count_if(e == "SURPLUS").alias("surplus"),
-        F.count_if(e == "UNKNOWN").alias("unknown_completed"))
+def application_statistics(events: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """Totals over all roles, with surplus and unknown completions; one row, also without events.
+
+    ``counters`` are ``role_counters`` that are there already.
+    """
+    counters = role_counters(transitions(events)) if counters is None else counters
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return counters.agg(
+        total("completions", "completed"), total("failed", "failed"), total("start_events", "started"),
+        total("failed_starts", "start_failed"), total("surplus", "surplus"), total("unknown_completed", "unknown_completed"))
 
 
 def progress(roles: DataFrame) -> DataFrame:
@@ -293,6 +299,21 @@ def instances_by_role(state: DataFrame, page: int = 1000) -> DataFrame:
         "role_id", "page").agg(F.sort_array(F.collect_list("container_id")).alias("container_ids"))
 
 
+def instance_records(state: DataFrame, page: int = 1000) -> DataFrame:
+    """Records of the containers of each role, by id, in sorted pages of at most ``page`` records.
+
+    ``state`` is the result of ``container_state``; times become epoch milliseconds. A page is
+    an array of (container_id, record), so that it can be turned into a map from id to record.
+    """
+    known = state.filter(F.col("container_id").isNotNull())
+    ranked = rank_in_group(known, ["role_id"], [F.col("container_id").asc()])
+    record = F.struct(
+        "host", "state", "released", millis(F.col("create_ts")).alias("create_time"),
+        millis(F.col("start_ts")).alias("start_time"), "exit_code", "diagnostics").alias("record")
+    return ranked.withColumn("page", F.floor((F.col("rank") - 1) / page).cast("long")).groupBy("role_id", "page").agg(
+        F.sort_array(F.collect_list(F.struct("container_id", record))).alias("records"))
+
+
 def live_in_role(state: DataFrame, role_id=None) -> DataFrame:
     live = state.filter(F.col("state") == STATE_LIVE)
     return live if role_id is None else live.filter(F.col("role_id") == role_id)

@@ -269,12 +269,15 @@ def _(spark, d):
     return stats(spark, d)
 
 
-@query("application_statistics", with_views(TRANS, """
+APPLICATION_SQL = """
     SELECT count(*) FILTER (event = 'COMPLETED' AND kind <> 'surplus') AS completed,
            count(*) FILTER (kind = 'failed' OR effect = 'START_FAILED') AS failed,
            count(*) FILTER (event = 'STARTED') AS started, count(*) FILTER (effect = 'START_FAILED') AS start_failed,
            count(*) FILTER (effect = 'SURPLUS') AS surplus, count(*) FILTER (kind = 'unknown') AS unknown_completed
-    FROM transitions"""))
+    FROM transitions"""
+
+
+@query("application_statistics", with_views(TRANS, APPLICATION_SQL))
 def _(spark, d):
     return lifecycle.application_statistics(v.lifecycle(spark, d))
 
@@ -344,6 +347,19 @@ def _(spark, d):
         "container_ids", F.array_join("container_ids", ","))
 
 
+@query("instance_records", with_views(SUMMARY, f"""
+    st AS ({STATE_SQL}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY container_id) AS rank FROM st)
+    SELECT role_id, (rank - 1) // 100 AS page,
+           string_agg(container_id || '@' || host || '/' || state || '/' || coalesce(epoch_us(start_ts) // 1000, -1), ',' ORDER BY container_id) AS records
+    FROM r GROUP BY ALL""", recursive=True))
+def _(spark, d):
+    text = lambda r: F.concat(r.container_id, F.lit("@"), r.record.host, F.lit("/"), r.record.state, F.lit("/"),
+                              F.coalesce(r.record.start_time, F.lit(-1)))
+    return lifecycle.instance_records(state(spark, d), page=100).withColumn(
+        "records", F.array_join(F.transform("records", text), ","))
+
+
 @query("live_in_role", with_views(SUMMARY, f"SELECT container_id, role_id, host FROM ({STATE_SQL}) WHERE state = 3"))
 def _(spark, d):
     return lifecycle.live_in_role(state(spark, d)).select("container_id", "role_id", "host")
@@ -385,12 +401,54 @@ def _(spark, d):
            coalesce(releasing, 0) AS releasing, failed, start_failed
     FROM lifecycle_roles JOIN stats USING (role_id) LEFT JOIN up USING (role_id)""", recursive=True))
 def _(spark, d):
-    return status.status_by_role(state(spark, d), stats(spark, d), v.lifecycle_roles(spark, d))
+    events, roles = v.lifecycle(spark, d), v.lifecycle_roles(spark, d)
+    summary = durable(lifecycle.container_summary(events))
+    counters = lifecycle.role_counters(lifecycle.transitions(events, summary=summary))
+    return status.status_by_role(
+        lifecycle.container_state(events, summary), lifecycle.role_statistics(events, roles, counters), roles)
+
+
+def documents(spark, d):
+    events, roles = v.lifecycle(spark, d), v.lifecycle_roles(spark, d)
+    summary = durable(lifecycle.container_summary(events))
+    counters = durable(lifecycle.role_counters(lifecycle.transitions(events, summary=summary)))
+    return status.status_document(
+        lifecycle.container_state(events, summary), lifecycle.role_statistics(events, roles, counters), roles,
+        lifecycle.application_statistics(events, counters), {"status": "live", "version": "2"}, {"version": "1", "owner": "ops"})
 
 
 @query("status_document")
 def _(spark, d):
-    return status.status_document(durable(state(spark, d)), stats(spark, d), v.lifecycle_roles(spark, d), {"status": "live"})
+    return documents(spark, d)
+
+
+def _rows_sql(section, keys, source, role="role_id"):
+    return " UNION ALL ".join(f"SELECT {role} AS role_id, '{section}' AS section, '{k}' AS key, CAST({c} AS VARCHAR) AS value FROM {source}"
+                              for c, k in keys.items())
+
+
+@query("status_document_entries", with_views(TRANS + " lifecycle_roles", ROLE_STATS + f""",
+    st AS ({STATE_SQL}),
+    up AS (SELECT role_id, count(*) AS actual, count(*) FILTER (released) AS releasing FROM st WHERE state <= 3 GROUP BY role_id),
+    s AS (SELECT role_id, name, stats.desired, coalesce(actual, 0) AS actual, active_requests AS requested,
+                 coalesce(releasing, 0) AS releasing, failed, start_failed
+          FROM lifecycle_roles JOIN stats USING (role_id) LEFT JOIN up USING (role_id)),
+    app AS (SELECT *, (SELECT count(*) FROM st WHERE state <= 3) AS live FROM ({APPLICATION_SQL}))
+    {_rows_sql("role", {c: c for c in status._ROLE}, "s")} UNION ALL {_rows_sql("statistics", status.STATISTIC_KEYS, "stats")}
+    UNION ALL {_rows_sql("statistics", status.APPLICATION_KEYS, "app", "CAST(NULL AS INTEGER)")}
+    UNION ALL SELECT CAST(NULL AS INTEGER), 'info', k, v FROM (VALUES ('status', 'live'), ('version', '2'), ('owner', 'ops')) AS i(k, v)""",
+    recursive=True))
+def _(spark, d):
+    return status.status_entries(documents(spark, d))
+
+
+RECORD_SQL = """role_id, container_id, host, state, released, epoch_us(create_ts) // 1000 AS create_time,
+           epoch_us(start_ts) // 1000 AS start_time, exit_code, diagnostics"""
+
+
+@query("status_document_records", with_views(SUMMARY, f"SELECT {RECORD_SQL} FROM ({STATE_SQL}) WHERE state <= 3"))
+def _(spark, d):
+    return status.status_records(documents(spark, d)).withColumn("host", F.col("host").cast("long"))
 
 
 def dimension_roles(spark, d):
@@ -827,7 +885,7 @@ def streamed(df: DataFrame, stream: Callable[[DataFrame], DataFrame]) -> DataFra
 
 # the last hour stays behind the watermark, which goes by whole slots
 @query("sequence_breaks_stream", with_views("heartbeat", f"""
-    t AS (SELECT *, epoch_ms(ts) AS at_ms FROM heartbeat),
+    t AS (SELECT *, epoch_us(ts) // 1000 AS at_ms FROM heartbeat),
     passed AS (SELECT * FROM t WHERE at_ms < (SELECT (max(at_ms) - 3600000) // {3600000 // streams.SLOTS} * {3600000 // streams.SLOTS} FROM t))
     SELECT CAST(label AS VARCHAR) AS label, seq, response_id, previous_id
     FROM (SELECT *, lag(response_id) OVER (PARTITION BY label ORDER BY seq) AS previous_id FROM passed)
