@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ordered import POS, SEG, order_segments, previous_in_group
+from fleetlens.functions.ordered import POS, SEG, join_one, order_segments, previous_in_group
 from fleetlens.functions.text import lines_with_ends, strip
 from fleetlens.operators.logs import tail_text, without_markup
 
@@ -36,7 +36,8 @@ def check_registrations(registrations: DataFrame, known: DataFrame) -> DataFrame
     labels = known.select("label").distinct().withColumn("_known", F.lit(True))
     container, role = split_label(F.col("label"))
     ok = F.col("_known").isNotNull()
-    return registrations.join(labels, "label", "left").select(
+    spread = [c for c in registrations.columns if c != "label"] or ["label"]
+    return join_one(registrations, labels, ["label"], spread, "left").select(
         "label", container.alias("container_id"), role.alias("role"),
         F.when(ok, "OK").otherwise("FAILED").alias("status"),
         F.when(~ok, "Label not recognized.").alias("log"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ordered import join_counted, rank_in_group
+from fleetlens.functions.ordered import OPEN, SURE, cut_in_group, join_counted, join_one, rank_in_group
 from fleetlens.session import durable
 
 # fixed values: ordered container state codes
@@ -242,26 +242,53 @@ def unstable_roles(events: DataFrame, threshold: int = FAILURE_THRESHOLD) -> Dat
         .filter(F.col("failed") > threshold))
 
 
+def _offers_in_order(offers: DataFrame, requests: DataFrame, cells: DataFrame) -> DataFrame:
+    from fleetlens.operators.placement import match_requests
+
+    used = cells.select("role_id", "host", "last_used")
+    return join_one(match_requests(offers, requests), used, ["role_id", "host"], ["container_id"], "left")
+
+
 def admit_allocations(offers: DataFrame, roles: DataFrame, requests: DataFrame,
                       cells: DataFrame) -> DataFrame:
     """Accept offers up to the desired count of each role, the rest is surplus.
 
-    Asked-for hosts come first, then the most recently used ones.
+    Asked-for hosts come first, then the most recently used ones. ``position`` is the place of
+    every offer; ``decide_allocations`` gives the decisions without ranking them all.
     """
-    from fleetlens.operators.placement import match_requests
-
-    flagged = match_requests(offers, requests)
-    used = cells.select("role_id", "host", "last_used")
-    known = flagged.join(used, ["role_id", "host"], "left")
-    ranked = rank_in_group(known, ["role_id"], [
+    ranked = rank_in_group(_offers_in_order(offers, requests, cells), ["role_id"], [
         F.col("requested").desc(), F.col("last_used").desc_nulls_last(), F.col("container_id").asc()], "position")
-    room = roles.select("role_id", "desired", "actual")
-    return ranked.join(room, "role_id").select(
+    return join_one(ranked, roles.select("role_id", "desired", "actual"), ["role_id"], ["container_id"]).select(
         "role_id", "container_id", "host", "requested", "position",
         F.when(F.col("actual") + F.col("position") <= F.col("desired"), "assigned")
         .otherwise("surplus").alias("decision"))
 
 
+def decide_allocations(offers: DataFrame, roles: DataFrame, requests: DataFrame, cells: DataFrame) -> DataFrame:
+    """The decisions of ``admit_allocations``.
+
+    Offers are counted by (role, asked for), which tells how many of each kind fit, and by how
+    recently their host was used, which decides all of them but those around the last place; only
+    these are ranked.
+    """
+    from fleetlens.operators.placement import recency
+
+    flagged = durable(_offers_in_order(offers, requests, cells))
+    counts = flagged.groupBy("role_id").agg(F.count_if("requested").alias("_asked"))
+    fit = F.greatest(F.col("desired") - F.col("actual"), F.lit(0))
+    room = roles.join(counts, "role_id").select("role_id", F.least(fit, "_asked").cast("long").alias("_fit_asked"),
+                                                F.greatest(fit - F.col("_asked"), F.lit(0)).cast("long").alias("_fit_other"))
+    limited = join_one(flagged, room, ["role_id"], ["container_id"]).withColumn(
+        "_fit", F.when(F.col("requested"), F.col("_fit_asked")).otherwise(F.col("_fit_other"))).drop("_fit_asked", "_fit_other")
+    cut = durable(cut_in_group(limited, ["role_id", "requested"], recency(cells), "_fit"))
+    unsure = rank_in_group(cut.filter(F.col("_side") == OPEN), ["role_id", "requested"],
+                           [F.col("last_used").desc_nulls_last(), F.col("container_id").asc()], "_place")
+    decided = cut.filter(F.col("_side") != OPEN).withColumn("_in", F.col("_side") == SURE).unionByName(
+        unsure.withColumn("_in", F.col("_place") <= F.col("_left")).drop("_place"))
+    return decided.select("role_id", "container_id", "host", "requested",
+                          F.when(F.col("_in"), "assigned").otherwise("surplus").alias("decision"))
+
+
 def rebuild_from_live(live: DataFrame) -> DataFrame:
     """Life-cycle events that bring a restarted master up to the reported containers.
 
@@ -270,7 +297,8 @@ def rebuild_from_live(live: DataFrame) -> DataFrame:
     its positions are unique and lie far below any real log position.
     """
     steps = F.array(F.lit("ALLOCATED"), F.lit("STARTED"))
-    numbered = rank_in_group(live, [], [F.col("container_id").asc()], "_n")
+    # numbers are fixed by writing them down; their order does not matter
+    numbered = durable(live.select(F.monotonically_increasing_id().alias("_n"), "container_id", "role_id", "host", "ts"))
     walked = numbered.select("_n", "container_id", "role_id", "host", "ts", F.posexplode(steps).alias("_i", "event"))
     return walked.select(
         "container_id", "role_id", "host", "event", "ts",

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ordered import clamped_totals, first_k_in_group, rank_in_group
+from fleetlens.functions.ordered import clamped_totals, first_in_group, first_k_in_group, join_one, rank_in_group
+from fleetlens.operators.lifecycle import millis
+from fleetlens.session import durable
 
 # fixed values: bits of a role's placement policy
 EXCLUDE_FROM_FLEXING = 1
@@ -77,10 +79,19 @@ def available_cells(cells: DataFrame) -> DataFrame:
     return cells.filter(is_available())
 
 
+def _recent() -> list[Column]:
+    return [F.col("last_used").desc_nulls_last(), F.col("host").asc()]
+
+
+def recency(cells: DataFrame) -> Column:
+    """``last_used`` as a number that grows with it."""
+    kind = cells.schema["last_used"].dataType.typeName()
+    return millis(F.col("last_used")) if kind.startswith(("date", "timestamp")) else F.col("last_used")
+
+
 def recency_rank(cells: DataFrame, name: str = "recency") -> DataFrame:
     """Hosts of each role, most recently used first."""
-    return rank_in_group(cells, ["role_id"],
-                         [F.col("last_used").desc_nulls_last(), F.col("host").asc()], name)
+    return rank_in_group(cells, ["role_id"], _recent(), name)
 
 
 def pick_hosts(cells: DataFrame, demand: DataFrame) -> DataFrame:
@@ -88,17 +99,17 @@ def pick_hosts(cells: DataFrame, demand: DataFrame) -> DataFrame:
 
     ``demand(role_id, k[, policy])`` has one row per role. Slots beyond the free hosts,
     and all slots of a role with the no-locality bit, have a null host (anywhere).
+    Free hosts that a histogram of the role shows to be used too long ago are not sorted.
     """
     if "policy" not in demand.columns:
         demand = demand.withColumn("policy", F.lit(0))
-    wanted = demand.filter(F.col("k") > 0)
-    located = wanted.filter(F.col("policy").bitwiseAND(NO_LOCALITY) == 0).select("role_id")
-    ranked = recency_rank(
-        available_cells(cells).join(located, "role_id", "left_semi").select("role_id", "host", "last_used"),
-        "slot")
+    wanted = durable(demand.filter(F.col("k") > 0).select("role_id", F.col("k").cast("long").alias("k"), "policy"))
+    located = wanted.filter(F.col("policy").bitwiseAND(NO_LOCALITY) == 0).select("role_id", "k")
+    free = join_one(available_cells(cells).select("role_id", "host", "last_used"), located, ["role_id"], ["host"])
+    ranked = first_in_group(free, ["role_id"], recency(cells), _recent(), "k", "slot")
     # slots are dealt out in blocks, so that a role asking for very many is not one task
-    k, block = F.col("k").cast("long"), F.col("_block")
-    blocks = wanted.select("role_id", k.alias("k"), F.explode(F.sequence(
+    k, block = F.col("k"), F.col("_block")
+    blocks = wanted.select("role_id", "k", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((k - 1) / SLOT_BLOCK))).alias("_block")).repartition("role_id", "_block")
     slots = blocks.select("role_id", F.explode(F.sequence(
         block * SLOT_BLOCK + 1, F.least(F.col("k"), (block + 1) * SLOT_BLOCK))).alias("slot"))
@@ -155,10 +166,28 @@ def release_candidates(cells: DataFrame, n: int) -> DataFrame:
 
 
 def release_by_role(cells: DataFrame, demand: DataFrame) -> DataFrame:
-    """``release_candidates`` with a separate number ``n`` for every role."""
-    asked = cells.join(demand.filter(F.col("n") > 0).select("role_id", "n"), "role_id")
-    copies = _copies(asked, F.col("n"), keep=("n",))
-    return rank_in_group(copies, ["role_id"], _release_order()).filter(F.col("rank") <= F.col("n")).drop("n")
+    """``release_candidates`` with a separate number ``n`` for every role.
+
+    A histogram (role, load) -> hosts tells how many instances each class (phase, load) has and so
+    where it begins in the order. Only hosts of classes that are reached are unrolled, and they are
+    ranked within their class.
+    """
+    wanted = durable(demand.filter(F.col("n") > 0).select("role_id", F.col("n").cast("long").alias("n")))
+    busy = cells.withColumn("active", active()).filter(F.col("active") > 0)
+    loads = join_one(busy.groupBy("role_id", "active").agg(F.count("*").alias("_hosts")), wanted, ["role_id"], ["active"])
+    act, hosts = F.col("active"), F.col("_hosts")
+    classes = loads.select("role_id", "n", "active", F.inline(F.array(
+        F.struct(F.lit(0).alias("phase"), (hosts * F.least(act - 1, F.col("n"))).alias("_copies")),
+        F.struct(F.when(act > 1, 2).otherwise(1).alias("phase"), hosts.alias("_copies")))))
+    earlier = W.partitionBy("role_id").orderBy("phase", F.col("active").desc()).rowsBetween(W.unboundedPreceding, -1)
+    begun = classes.filter("_copies > 0").withColumn("_before", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)))
+    reached = durable(begun.filter(F.col("_before") < F.col("n")).select("role_id", "active", "phase", "n", "_before"))
+    some = join_one(cells.withColumn("active", active()), reached.groupBy("role_id", "active").agg(F.first("n").alias("n")),
+                    ["role_id", "active"], ["host"])
+    copies = join_one(_copies(some, F.col("n")), reached, ["role_id", "active", "phase"], ["host", "copy"])
+    ranked = rank_in_group(copies, ["role_id", "phase", "active"], [F.col("host").asc(), F.col("copy").asc()])
+    return ranked.withColumn("rank", F.col("rank") + F.col("_before")).filter(F.col("rank") <= F.col("n")).select(
+        "role_id", "host", "active", "phase", "copy", "rank")
 
 
 def purge_cells(cells: DataFrame, cutoff) -> DataFrame:
@@ -185,7 +214,7 @@ def located_requests(requests: DataFrame) -> DataFrame:
 def match_requests(offers: DataFrame, requests: DataFrame) -> DataFrame:
     """Flag offers that answer an outstanding request for that role and host."""
     asked = located_requests(requests).select("role_id", "host", F.lit(True).alias("_hit"))
-    return offers.join(asked, ["role_id", "host"], "left").withColumn(
+    return join_one(offers, asked, ["role_id", "host"], ["container_id"], "left").withColumn(
         "requested", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -202,8 +231,9 @@ def settle_requests(requests: DataFrame, offers: DataFrame, roles: DataFrame) ->
     full = (roles.join(arrived, "role_id")
             .filter(F.col("desired") <= F.col("actual") + F.col("_offers"))
             .select("role_id", F.lit(True).alias("_full")))
+    # both sides of the first join have one row per key; of the second, roles may be very large
     return (
-        open_requests.join(answered, ["role_id", "host"], "left").join(full, "role_id", "left")
+        join_one(open_requests.join(answered, ["role_id", "host"], "left"), full, ["role_id"], ["host"], "left")
         .select("role_id", "host", "request_id",
                 F.when(F.col("_hit"), "satisfied").when(F.col("_full"), "cancelled")
                 .otherwise("outstanding").alias("status"))
@@ -232,9 +262,11 @@ def containers_to_release(containers: DataFrame, candidates: DataFrame) -> DataF
     used. Copies without a container left have a null id, which the caller should treat
     as an inconsistency.
     """
-    chosen = candidates.select("role_id", "host", "copy", "rank")
-    free = containers.filter(~F.col("releasing")).select("role_id", "host", "container_id").join(
-        chosen.select("role_id", "host"), ["role_id", "host"], "left_semi")
-    named = rank_in_group(free, ["role_id", "host"], [F.col("container_id").asc()], "copy")
+    chosen = durable(candidates.select("role_id", "host", "copy", "rank"))
+    most = chosen.agg(F.max("copy")).first()[0] or 0
+    hosts = chosen.groupBy("role_id", "host").agg(F.max("copy").alias("_copies"))
+    free = join_one(containers.filter(~F.col("releasing")).select("role_id", "host", "container_id"), hosts,
+                    ["role_id", "host"], ["container_id"]).drop("_copies")
+    named = first_k_in_group(free, ["role_id", "host"], [F.col("container_id").asc()], most, "copy")
     return chosen.join(named, ["role_id", "host", "copy"], "left").select(
         "role_id", "rank", "host", "container_id")

@@ -328,6 +328,20 @@ def _(spark, d):
     return lifecycle.admit_allocations(v.offers(spark, d), v.roles(spark, d, cells), v.requests(spark, d), cells)
 
 
+@query("decide_allocations", with_views("placement roles requests located offers", """
+    ranked AS (SELECT o.role_id, o.container_id, o.host, l.request_id IS NOT NULL AS requested,
+                      row_number() OVER (PARTITION BY o.role_id ORDER BY (l.request_id IS NOT NULL) DESC,
+                                         p.last_used DESC NULLS LAST, o.container_id) AS position
+               FROM offers o LEFT JOIN located l ON l.role_id = o.role_id AND l.host = o.host
+               LEFT JOIN placement p ON p.role_id = o.role_id AND p.host = o.host)
+    SELECT role_id, container_id, host, ranked.requested,
+           CASE WHEN actual + position <= desired THEN 'assigned' ELSE 'surplus' END AS decision
+    FROM ranked JOIN roles USING (role_id)""", recursive=True))
+def _(spark, d):
+    cells = durable(v.placement(spark, d))
+    return lifecycle.decide_allocations(v.offers(spark, d), v.roles(spark, d, cells), v.requests(spark, d), cells)
+
+
 @query("rebuild_from_live", with_views("containers", """
     SELECT role_id, count(*) AS live, count(DISTINCT host) AS hosts FROM containers WHERE NOT releasing GROUP BY role_id"""))
 def _(spark, d):

@@ -34,7 +34,8 @@ def same(a, b):
 
 
 
-def test_rank(skewed):
+def test_rank(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
     same(rank_in_group(skewed, ["g"], order()), skewed.withColumn("rank", F.row_number().over(win())))
 
 
@@ -48,9 +49,10 @@ def test_hot_group_is_spread(spark, skewed):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_over_several_partitions(spark, skewed, monkeypatch, limit):
+@pytest.mark.parametrize("limit, hot", [(0, 0), (100_000, 0), (0, 5000), (100_000, 10**9)])
+def test_over_several_partitions(spark, skewed, monkeypatch, limit, hot):
     monkeypatch.setattr(ordered, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         same(rank_in_group(skewed, ["g"], order()), skewed.withColumn("rank", F.row_number().over(win())))
@@ -88,3 +90,53 @@ def test_join_counted_deals_hot_keys(skewed, how, limit, monkeypatch):
 
 def test_order_of_input_does_not_matter(skewed):
     same(rank_in_group(skewed, ["g"], order()), rank_in_group(skewed.repartition(11, "id"), ["g"], order()))
+
+
+def test_small_groups_are_not_laid_out(skewed, monkeypatch):
+    """Only the rows of large groups are written in order."""
+    seen = []
+    real = ordered.order_segments
+
+    def spy(df, *rest):
+        seen.append(df.select("g").distinct().count())
+        return real(df, *rest)
+    monkeypatch.setattr(ordered, "order_segments", spy)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 5000)
+    same(rank_in_group(skewed, ["g"], order()), skewed.withColumn("rank", F.row_number().over(win())))
+    assert seen == [1]
+
+
+def test_is_small_counts_bytes(spark, monkeypatch):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.repeat(F.lit("y"), 1000)).alias("a"))
+    assert ordered.is_small(df)
+    monkeypatch.setattr(ordered, "BROADCAST_BYTES", 150_000)
+    assert not ordered.is_small(df) and ordered.is_small(df.select("id", "s"))
+
+
+@pytest.mark.parametrize("value", ["o", "one", "wide", "void"])
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_cut_and_first_rows(skewed, monkeypatch, value, small):
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", small)
+    df = skewed.withColumns({
+        "one": F.lit(1), "wide": F.when(F.col("id") % 10 == 0, F.xxhash64("id")).otherwise(F.col("id") % 3),
+        "void": F.when(F.col("id") % 3 == 0, F.col("id"))}).withColumn("n", F.coalesce(F.col("g"), F.lit(3)) * 700 + 17)
+    order = [F.col(value).desc_nulls_last(), F.col("id").asc()]
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(*order)).cast("long")).filter("rank <= n")
+    same(ordered.first_in_group(df, ["g"], F.col(value), order, "n"), want)
+    cut = ordered.cut_in_group(df, ["g"], F.col(value), "n")
+    sure = cut.groupBy("g").agg(F.count_if(F.col("_side") == ordered.SURE).alias("sure"), F.max("_left").alias("left"),
+                                F.count_if(F.col("_side") == ordered.OPEN).alias("open"), F.first("n").alias("n"), F.count("*").alias("all"))
+    for r in sure.collect():
+        assert r.sure + (r.left if r.open else 0) == min(r.n, r.all) and (r.open == 0 or r.open > r.left)
+    if value == "wide":
+        assert cut.filter(F.col("_side") == ordered.OPEN).count() < 5000
+
+
+def test_join_one(skewed, monkeypatch):
+    big = skewed.filter("g is not null")
+    one = big.filter("g <> 3").groupBy("g").agg(F.max("id").alias("top"))
+    for small, hot in ((100_000, 10), (0, 10), (0, 10**9)):
+        monkeypatch.setattr(ordered, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+        for how in ("inner", "left"):
+            same(ordered.join_one(big, one, ["g"], ["id"], how).select("id", "g", "top"), big.join(one, "g", how))
