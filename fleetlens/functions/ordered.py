@@ -245,18 +245,25 @@ def join_counted(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: st
     return dealt.join(copies, [*keys, "_share"], how).drop("_share")
 
 
-def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
+             written: bool = False) -> DataFrame:
     """Join many rows to a table with one row per key, which need not know how many rows each key has.
 
-    A small table is broadcast. For a large one the rows of ``big`` are counted per key, so that
-    keys with very many rows can be dealt over shares, see ``join_counted``.
+    A small table is broadcast. Otherwise the rows of ``big`` are counted per key; those of keys with
+    more than ``HOT_ROWS`` are dealt over as many shares as they need by the columns ``spread``, and
+    the row of such a key is copied to each share. There are at most rows / HOT_ROWS such keys.
     """
-    one = durable(one)
+    one = one if written else durable(one)
     if is_small(one):
         return big.join(F.broadcast(one), list(keys), how)
-    sizes = big.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    counted = durable(one.join(sizes, list(keys), "left").withColumn("_rows", F.coalesce("_rows", F.lit(0))))
-    return join_counted(big, counted, keys, "_rows", spread, how).drop("_rows")
+    shares = F.ceil(F.col("_rows") / F.lit(HOT_ROWS)).cast("int").alias("_shares")
+    hot = durable(big.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).select(*keys, shares))
+    if hot.isEmpty():
+        return big.join(one, list(keys), how)
+    hot, n = F.broadcast(hot), F.coalesce("_shares", F.lit(1))
+    dealt = big.join(hot, list(keys), "left").withColumn("_share", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("_shares")
+    copies = one.join(hot, list(keys), "left").withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_shares")
+    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
 
 
 SURE, OPEN, OUT = -1, 0, 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ordered import broadcast_if_small
+from fleetlens.functions.ordered import BROADCAST_BYTES, BROADCAST_ROWS, join_one
 from fleetlens.functions.text import after, decode_int, starts
 from fleetlens.session import durable
 
@@ -109,16 +109,14 @@ def substitute_vars(entries: DataFrame, scope: tuple[str, ...] = ("doc", "compon
 
     One reference per round, the leftmost innermost first, at most 19 rounds; a value
     stops at the first unknown name. Every round is a join of the values still open
-    with the raw entries they name, so no document has to fit into one row. After every
+    with the raw entries they name, so no document has to fit into one row; values that
+    name a variable which very many others name are dealt over shares. After every
     few rounds the values are written out, finished ones are set aside, and the work
-    ends as soon as nothing is open.
+    ends as soon as nothing is open. A key is expected once in its scope.
     """
-    keys = [*scope]
-    raw = entries.filter(F.col("key").isNotNull()).select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("key").alias("_r_name"), F.col("value").alias("_v"))
-    match = F.col("_name") == F.col("_r_name")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    def place(name: str) -> Column:  # null has a place of its own
+        return F.concat_ws("\u0000", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0001")) for k in scope], F.col(name))
+    raw = durable(entries.filter(F.col("key").isNotNull()).select(place("key").alias("_at"), F.col("value").alias("_v")))
 
     def reference(value: Column) -> Column:
         found = F.regexp_extract(value, f"({_VARIABLE})", 1)
@@ -137,7 +135,8 @@ def substitute_vars(entries: DataFrame, scope: tuple[str, ...] = ("doc", "compon
             rounds += 1
             known = F.col("_v").isNotNull()
             pending = (
-                pending.join(raw, match, "left").withColumn("value", F.when(known, swapped).otherwise(value))
+                join_one(pending.withColumn("_at", place("_name")), raw, ["_at"], ["key"], "left", written=True)
+                .withColumn("value", F.when(known, swapped).otherwise(value))
                 .withColumn("_name", F.when(known, reference(value))).select(*columns, "_name"))
         pending = durable(pending)
         finished.append(pending.filter(F.col("_name").isNull()).select(*columns))
@@ -195,18 +194,29 @@ def heap_megabytes(text: Column) -> Column:
     return F.when(number.rlike("^[+-]?[0-9]+$"), number.try_cast("int"))
 
 
+SHAPES = 32  # different numbers of dots among rules, beyond which all tails are looked up
+
+
 def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries that break a rule.
 
     ``rules(key_suffix, rule, min, max)``: a rule applies to keys that are the suffix or
     end in it after a dot; a suffix may contain dots. Rules are ``int`` (a bound of -1 is
     none), ``count`` (a max of 0 is none), ``heap``, ``name`` and ``schema``. Every key is
-    looked up by all its tails, one for each of its dots, so the work is one equi-join
-    however many rules there are.
+    looked up by those of its tails that have as many dots as some rule, so the work is one
+    equi-join however many rules there are.
     """
-    parts = F.size(F.split("key", r"\."))
-    tails = F.transform(F.sequence(F.lit(1), parts), lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n))
-    rules = broadcast_if_small(durable(rules))
+    dotted = lambda c: F.size(F.split(c, r"\."))
+    # one row for each number of dots: how many rules, and their size
+    shapes = rules.groupBy(dotted("key_suffix").alias("parts")).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))).alias("bytes")).limit(SHAPES + 1).collect()
+    if len(shapes) > SHAPES:
+        counts = F.sequence(F.lit(1), dotted("key"))
+    else:
+        counts = F.filter(F.array(*[F.lit(r.parts) for r in shapes]).cast("array<int>"), lambda n: n <= dotted("key"))
+        if sum(r.n for r in shapes) <= BROADCAST_ROWS and sum(r.bytes for r in shapes) <= BROADCAST_BYTES:
+            rules = F.broadcast(rules)
+    tails = F.transform(counts, lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n))
     hit = entries.filter(F.col("key").isNotNull()).withColumn("key_suffix", F.explode(tails)).join(rules, "key_suffix")
     number = decode_int(F.trim("value"))
     low = F.when((F.col("rule") == "count") | (F.col("min") >= 0), F.col("min"))

@@ -61,31 +61,39 @@ def _service_milestones(statuses: DataFrame, bootstrap_ms: int) -> DataFrame:
         "service", "rows", "dep_done", "boot_start_ts", "boot_done", "timeout_seq"))
 
 
-def _booted(statuses: DataFrame, milestones: DataFrame) -> DataFrame:
-    """Per monitor probe: rows, and position and time of its first success after the dependencies."""
-    m = milestones.select("service", "rows", "dep_done")
-    rows = join_counted(statuses.filter(F.col("kind") == "monitor"), m, ["service"], "rows", ["seq"])
-    ok = F.when(F.col("success") & (F.col("cycle") > F.col("dep_done")), F.col("seq"))
+def _probe_marks(statuses: DataFrame, milestones: DataFrame) -> DataFrame:
+    """Per (service, probe): rows, first success after the dependencies, and the service's milestones.
+
+    Dependency probes have rows of their own, so that a later join knows how many rows each probe has.
+    """
+    rows = join_counted(statuses, milestones, ["service"], "rows", ["seq"])
+    monitor = F.col("kind") == "monitor"
+    ok = F.when(monitor & F.col("success") & (F.col("cycle") > F.col("dep_done")), F.col("seq"))
+    carried = [c for c in milestones.columns if c not in ("service", "rows")]
     return durable(rows.groupBy("service", "probe").agg(
-        F.count("*").alias("probe_rows"), F.min(ok).alias("booted_seq"), F.min_by("ts", ok).alias("booted_ts")))
+        F.count("*").alias("probe_rows"), F.count_if(monitor).alias("monitor_rows"),
+        F.min(ok).alias("booted_seq"), F.min_by("ts", ok).alias("booted_ts"), *[F.first(c).alias(c) for c in carried]))
 
 
 def label_phases(statuses: DataFrame, bootstrap_ms: int = BOOTSTRAP_TIMEOUT_MS) -> DataFrame:
-    """Every status with the phase it was taken in and whether its probe had booted."""
-    milestones = _service_milestones(statuses, bootstrap_ms)
-    booted = _booted(statuses, milestones)
-    with_boot = join_counted(
-        join_counted(statuses, milestones, ["service"], "rows", ["seq"]),
-        booted, ["service", "probe"], "probe_rows", ["seq"], how="left")
+    """Every status with the phase it was taken in and whether its probe had booted.
+
+    ``service`` and ``probe`` must not be null. All that a row needs to know is put into one table per
+    (service, probe), so the rows themselves are joined by that pair only.
+    """
+    marks = _probe_marks(statuses, _service_milestones(statuses, bootstrap_ms))
     in_boot = (F.col("cycle") > F.col("dep_done")) & (
         F.col("boot_done").isNull() | (F.col("cycle") <= F.col("boot_done")))
     is_live = F.col("cycle") > F.col("boot_done")
     had_booted = F.coalesce(F.col("booted_seq") < F.col("seq"), F.lit(False))
     fatal = (F.col("kind") == "monitor") & ~F.col("success") & ((in_boot & had_booted) | is_live)
-    stops = durable(with_boot.groupBy("service").agg(
-        F.count("*").alias("rows"),
-        F.least(F.min(F.when(fatal, F.col("seq"))), F.min("timeout_seq") - 1).alias("stop")))
-    final = join_counted(with_boot.drop("rows"), stops, ["service"], "rows", ["seq"])
+    known = join_counted(statuses.select("service", "probe", "cycle", "seq", "kind", "success"),
+                         marks, ["service", "probe"], "probe_rows", ["seq"])
+    stops = known.groupBy("service").agg(
+        F.least(F.min(F.when(fatal, F.col("seq"))), F.min("timeout_seq") - 1).alias("stop"))
+    marks = durable(marks.join(stops, "service").select(
+        "service", "probe", "probe_rows", "booted_seq", "dep_done", "boot_done", "stop"))
+    final = join_counted(statuses, marks, ["service", "probe"], "probe_rows", ["seq"])
     phase = (
         F.when(F.col("seq") > F.col("stop"), "TERMINATING").when(is_live, "LIVE")
         .when(in_boot, "BOOTSTRAPPING").otherwise("DEPENDENCY_CHECKING"))
@@ -139,11 +147,10 @@ def silence_alerts(statuses: DataFrame, probe_timeout_ms: int = PROBE_TIMEOUT_MS
 def bootstrap_timeout(statuses: DataFrame, limit_ms: int = BOOTSTRAP_TIMEOUT_MS) -> DataFrame:
     """Services whose probes had not all booted in time, with the last failing status."""
     m = _service_milestones(statuses, limit_ms).filter(F.col("boot_start_ts").isNotNull())
-    booted = _booted(statuses, m)
+    booted = _probe_marks(statuses, m).filter("monitor_rows > 0")
     deadline = millis(F.col("boot_start_ts")) + limit_ms
     late = F.col("booted_ts").isNull() | (millis(F.col("booted_ts")) > deadline)
-    missing = booted.join(m.select("service", "boot_start_ts"), "service").groupBy("service").agg(
-        F.count_if(late).alias("missing")).filter(F.col("missing") > 0)
+    missing = booted.groupBy("service").agg(F.count_if(late).alias("missing")).filter(F.col("missing") > 0)
     rows = join_counted(statuses.filter(F.col("kind") == "monitor"), m, ["service"], "rows", ["seq"])
     failing = ~F.col("success") & (F.col("cycle") > F.col("dep_done")) & (millis(F.col("ts")) <= deadline)
     last = rows.groupBy("service").agg(

@@ -169,25 +169,33 @@ def release_by_role(cells: DataFrame, demand: DataFrame) -> DataFrame:
     """``release_candidates`` with a separate number ``n`` for every role.
 
     A histogram (role, load) -> hosts tells how many instances each class (phase, load) has and so
-    where it begins in the order. Only hosts of classes that are reached are unrolled, and they are
-    ranked within their class.
+    where it begins in the order. In a class all hosts give the same number of instances, so the
+    hosts that are reached are the first few by name; only these are ranked and unrolled.
     """
     wanted = durable(demand.filter(F.col("n") > 0).select("role_id", F.col("n").cast("long").alias("n")))
-    busy = cells.withColumn("active", active()).filter(F.col("active") > 0)
+    busy = cells.withColumn("active", active()).filter(F.col("active") > 0).select("role_id", "host", "active")
     loads = join_one(busy.groupBy("role_id", "active").agg(F.count("*").alias("_hosts")), wanted, ["role_id"], ["active"])
-    act, hosts = F.col("active"), F.col("_hosts")
-    classes = loads.select("role_id", "n", "active", F.inline(F.array(
-        F.struct(F.lit(0).alias("phase"), (hosts * F.least(act - 1, F.col("n"))).alias("_copies")),
-        F.struct(F.when(act > 1, 2).otherwise(1).alias("phase"), hosts.alias("_copies")))))
+    act = F.col("active")
+    classes = loads.select("role_id", "n", "active", "_hosts", F.inline(F.array(
+        F.struct(F.lit(0).alias("phase"), F.least(act - 1, F.col("n")).alias("_each")),
+        F.struct(F.when(act > 1, 2).otherwise(1).alias("phase"), F.lit(1).cast("long").alias("_each"))))).filter("_each > 0")
     earlier = W.partitionBy("role_id").orderBy("phase", F.col("active").desc()).rowsBetween(W.unboundedPreceding, -1)
-    begun = classes.filter("_copies > 0").withColumn("_before", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)))
-    reached = durable(begun.filter(F.col("_before") < F.col("n")).select("role_id", "active", "phase", "n", "_before"))
-    some = join_one(cells.withColumn("active", active()), reached.groupBy("role_id", "active").agg(F.first("n").alias("n")),
-                    ["role_id", "active"], ["host"])
-    copies = join_one(_copies(some, F.col("n")), reached, ["role_id", "active", "phase"], ["host", "copy"])
-    ranked = rank_in_group(copies, ["role_id", "phase", "active"], [F.col("host").asc(), F.col("copy").asc()])
-    return ranked.withColumn("rank", F.col("rank") + F.col("_before")).filter(F.col("rank") <= F.col("n")).select(
-        "role_id", "host", "active", "phase", "copy", "rank")
+    begun = classes.withColumn("_left", F.col("n") - F.coalesce(F.sum(F.col("_hosts") * F.col("_each")).over(earlier), F.lit(0)))
+    reached = durable(begun.filter(F.col("_left") > 0).select(
+        "role_id", "active", "phase", "n", "_each", "_left", F.ceil(F.col("_left") / F.col("_each")).alias("_need")))
+    phases = reached.groupBy("role_id", "active").agg(F.collect_list(F.struct("phase", "n", "_each", "_left", "_need")).alias("_p"))  # two at most
+    hosts = join_one(busy, phases, ["role_id", "active"], ["host"]).select("role_id", "host", "active", F.inline("_p"))
+    most = reached.agg(F.max(F.least("_need", "n"))).first()[0] or 0
+    taken = first_k_in_group(hosts, ["role_id", "active", "phase"], [F.col("host").asc()], most, "_place").filter(
+        F.col("_place") <= F.col("_need"))
+    # unrolled in blocks, so that a host with very many instances is not one long array
+    done = (F.col("_place") - 1) * F.col("_each")
+    size, block = F.least(F.col("_each"), F.col("_left") - done), F.col("_block")
+    blocks = taken.withColumns({"_done": done, "_size": size}).withColumn("_block", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / SLOT_BLOCK))))
+    copies = blocks.withColumn("_i", F.explode(F.sequence(block * SLOT_BLOCK + 1, F.least(F.col("_size"), (block + 1) * SLOT_BLOCK))))
+    return copies.select("role_id", "host", "active", "phase", F.when(F.col("phase") == 0, F.col("_i")).otherwise(act).alias("copy"),
+                         (F.col("n") - F.col("_left") + F.col("_done") + F.col("_i")).alias("rank"))
 
 
 def purge_cells(cells: DataFrame, cutoff) -> DataFrame:

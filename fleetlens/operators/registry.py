@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ordered import join_one
+
 # fixed values: application states in life-cycle order
 STATES = ("NEW", "NEW_SAVING", "SUBMITTED", "ACCEPTED", "RUNNING", "FINISHED", "FAILED", "KILLED")
 RUNNING = STATES.index("RUNNING")
@@ -81,10 +83,10 @@ def duplicate_running(apps: DataFrame) -> DataFrame:
 def app_containers(apps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Containers of each application over the hosts that run them.
 
-    ``nodes(host, containers array<struct<app_id, container_id>>)``.
+    ``nodes(host, containers array<struct<app_id, container_id>>)``; ``apps`` has one row per id.
     """
     placed = nodes.select("host", F.inline("containers"))
-    return apps.select("app_id", "name").join(placed, "app_id").select(
+    return join_one(placed, apps.select("app_id", "name"), ["app_id"], ["host", "container_id"]).select(
         "app_id", "name", "host", "container_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ordered import join_one
 from fleetlens.operators.lifecycle import STATE_LIVE, instance_records
 
 # fixed values: statistic names in a status document
@@ -82,7 +83,7 @@ def status_document(state: DataFrame, stats: DataFrame, roles: DataFrame, applic
         return documents
     merged = {**(application_info or {}), **(provider_status or {})}
     info = F.create_map(*[F.lit(x) for kv in merged.items() for x in kv]).cast("map<string,string>").alias("info")
-    whole = application.crossJoin(F.broadcast(live.agg(F.count("*").alias("live"))))  # one row each
+    whole = application.withColumn("live", live.agg(F.count("*")).scalar())
     return documents.unionByName(whole.select(
         F.lit(None).cast(documents.schema["role_id"].dataType).alias("role_id"), F.lit(0).cast("long").alias("page"),
         F.to_json(F.struct(_named(APPLICATION_KEYS), info)).alias("json")))
@@ -123,8 +124,8 @@ def roles_without_stats(roles: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def container_listing(state: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Containers per role by name, nulls first; a link only where the host has an address."""
+    """Containers per role by name, nulls first; a link only where the host has an address, one per host."""
     link = F.concat(F.lit("http://"), F.col("address"), F.lit("/node/container/"), F.col("container_id"))
-    return state.join(addresses.select("host", "address"), "host", "left").select(
+    return join_one(state, addresses.select("host", "address"), ["host"], ["container_id"], "left").select(
         "role_id", "container_id", "host", link.alias("link")).orderBy(
         "role_id", F.col("container_id").asc_nulls_first())

@@ -776,6 +776,17 @@ def _(spark, d):
     return config_entries(parse_lines(lines.select(F.col("json").alias("value"))))
 
 
+@query("config_files_read", with_views("part_keys config", "SELECT section, component, key, value FROM config"))
+def _(spark, d):
+    """Files with many trees each, one behind the other; all of them are read."""
+    from fleetlens.sources.config_docs import read_config_docs
+
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/config-{uuid.uuid4()}"
+    trees = config.config_doc_json(v.config(spark, d), line_entries=100).select(F.col("json").alias("value"))
+    trees.write.option("maxRecordsPerFile", 100).text(folder)
+    return read_config_docs(spark, folder).select("section", "component", "key", "value")
+
+
 # --- snapshots ---------------------------------------------------------------
 
 ENTRY_COLS = ("saved", "saved_ms", "host", "role_id", "active", "last_used")
@@ -803,6 +814,16 @@ def _(spark, d):
     return history.latest_valid_snapshot(v.snapshot_records(spark, d)).select(*ENTRY_COLS)
 
 
+@query("latest_saved_snapshot", with_views("months checked entries", """
+    SELECT saved, saved_ms, host, role_id, active, last_used FROM entries JOIN checked USING (saved_ms)
+    WHERE saved = (SELECT max(saved) FROM checked WHERE valid)"""))
+def _(spark, d):
+    """The snapshots saved to files; the manifest names the newest, and only its partition is read."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4()}"
+    history.write_history(v.snapshot_records(spark, d), folder)
+    return history.latest_valid_snapshot(history.read_history(spark, folder), history.read_manifest(spark, folder)).select(*ENTRY_COLS)
+
+
 @query("read_history", with_views("months entries", """
     SELECT printf('%016x', saved_ms) AS saved, 'entry' AS kind, CAST(NULL AS INTEGER) AS version, host, role_id, active, last_used,
            CAST(NULL AS BIGINT) AS count FROM entries
@@ -822,9 +843,7 @@ def _(spark, d):
 @query("expired_snapshots", with_views("months checked", """
     SELECT saved FROM checked WHERE saved < (SELECT max(saved) FROM checked WHERE valid)"""))
 def _(spark, d):
-    checked = history.check_snapshots(v.snapshot_records(spark, d))
-    keep = checked.filter("valid").agg(F.max("saved")).first()[0]
-    return history.expired_snapshots(checked, keep)
+    return history.expired_snapshots(durable(history.check_snapshots(v.snapshot_records(spark, d))))
 
 
 @query("restore_history", with_views("entries", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.operators.config import SCHEMA_VERSION, config_doc_json
@@ -11,12 +12,55 @@ _TREE = ("schema string, metadata map<string,string>, global map<string,string>,
          "components map<string,map<string,string>>, _broken string")
 
 
+# everything up to and with the next bracket; brackets inside strings do not count, nor does an escaped quote end one
+_PIECE = r'[^{}\[\]"]*+(?:"(?:[^"\\]|\\.)*+"[^{}\[\]"]*+)*+[{}\[\]]|[^{}\[\]"]++|"'
+
+
+def split_values(texts: DataFrame) -> DataFrame:
+    """The top-level JSON values of each text: the columns of ``texts`` with ``part`` (from 1) and a ``value`` per part.
+
+    All columns but ``value`` together name a text. It is cut into pieces that end in a bracket; the
+    running depth over the pieces tells where a value ends. What follows the last whole value is a
+    part of its own, unless it is blank.
+    """
+    names = [c for c in texts.columns if c != "value"]
+    pieces = texts.select(*names, F.posexplode(F.regexp_extract_all("value", F.lit(_PIECE), 0)).alias("_at", "_piece"))
+    last = F.substring("_piece", -1, 1)
+    upto = W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    step = F.when(last.isin("{", "["), 1).when(last.isin("}", "]"), -1).otherwise(0)
+    deep = pieces.withColumn("_step", step).withColumn("_depth", F.sum("_step").over(upto))
+    ends = ((F.col("_step") == -1) & (F.col("_depth") <= 0)).cast("int")
+    numbered = deep.withColumn("_end", ends).withColumn("part", F.coalesce(F.sum("_end").over(before), F.lit(0)) + 1)
+    whole = numbered.groupBy(*names, "part").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("_at", "_piece"))), lambda p: p["_piece"]), "").alias("value"))  # one value of a file
+    return whole.filter(F.col("value").rlike(r"\S"))
+
+
+def parse_trees(values: DataFrame) -> DataFrame:
+    """One row per tree of the values (file, doc, part, value); an array is several trees.
+
+    The first tree of a file has the name ``doc``, later ones have ``#`` and their number behind it.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    one = F.array(F.from_json("value", _TREE, options))
+    broken = F.array(F.from_json(F.lit("{"), _TREE, options))
+    many = F.coalesce(F.from_json("value", f"array<struct<{_TREE}>>"), broken)
+    listed = F.col("value").rlike(r"^\s*\[")
+    trees = values.select("file", "doc", "part", F.posexplode(F.when(listed, many).otherwise(one)).alias("at", "t"))
+    n = F.row_number().over(W.partitionBy("file").orderBy("part", "at"))
+    return trees.select("t.*", F.when(n == 1, F.col("doc")).otherwise(F.concat("doc", F.lit("#"), n.cast("string"))).alias("doc"))
+
+
 def read_config_trees(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file; unknown fields are ignored, ill-formed files have ``_broken``."""
-    return (
-        spark.read.schema(_TREE).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken").json(paths)
-        .withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1)))
+    """One row per tree of files that hold one or several; unknown fields are ignored, ill-formed trees have ``_broken``.
+
+    An empty file gives no tree. A file is read whole; for very large ones use lines.
+    """
+    path = F.col("_metadata.file_path")
+    texts = spark.read.text(paths, wholetext=True).select(
+        path.alias("file"), F.regexp_extract(path, r"([^/]+?)(\.json)?$", 1).alias("doc"), "value")
+    return parse_trees(split_values(texts))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -53,7 +97,7 @@ def config_entries(trees: DataFrame) -> DataFrame:
 
 
 def read_config_docs(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
-    """Entries of documents, one per file named after it, or with ``lines`` one per line."""
+    """Entries of documents, those of a file named after it, or with ``lines`` one per line."""
     return config_entries(read_config_lines(spark, paths) if lines else read_config_trees(spark, paths))
 
 

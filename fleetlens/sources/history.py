@@ -43,8 +43,27 @@ def history_snapshot(cells: DataFrame, saved_ms: int) -> DataFrame:
 
 
 def write_history(records: DataFrame, folder: str) -> None:
-    """Save snapshots; only their own partitions are written, so saving again replaces them."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("saved").parquet(folder)
+    """Save snapshots; only their own partitions are written, so saving again replaces them.
+
+    A manifest beside the folder gets one row for each snapshot, so that finding the newest one
+    reads no records. It is made from what was written.
+    """
+    def put(df: DataFrame, to: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("saved").parquet(to)
+    spark = records.sparkSession
+    put(records, folder)
+    mine = read_history(spark, folder).join(F.broadcast(records.select("saved").distinct()), "saved", "left_semi")
+    put(check_snapshots(mine).repartition("saved"), manifest_of(folder))
+
+
+def manifest_of(folder: str) -> str:
+    return folder.rstrip("/") + "_manifest"
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per saved snapshot, as from ``check_snapshots``."""
+    return spark.read.schema("saved string, saved_ms bigint, entries bigint, valid boolean, footer_ok boolean").parquet(
+        manifest_of(folder))
 
 
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,14 +131,25 @@ def check_snapshots(records: DataFrame) -> DataFrame:
                           F.coalesce(F.col("footer_count") == F.col("entries"), F.lit(False)).alias("footer_ok"))
 
 
-def latest_valid_snapshot(records: DataFrame) -> DataFrame:
-    """Entries of the newest readable snapshot; empty and broken ones are passed over."""
-    newest = check_snapshots(records).filter("valid").agg(F.max("saved").alias("saved"))
-    return records.filter(F.col("kind") == "entry").join(F.broadcast(newest), "saved", "left_semi")
+def latest_valid_snapshot(records: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """Entries of the newest readable snapshot; empty and broken ones are passed over.
+
+    ``checks`` is the manifest or another result of ``check_snapshots``; without it all records are
+    checked. With records from ``read_history`` only the partition of that snapshot is scanned.
+    """
+    checks = check_snapshots(records) if checks is None else checks
+    newest = checks.filter("valid").agg(F.max("saved")).scalar()
+    return records.filter((F.col("kind") == "entry") & (F.col("saved") == newest))
 
 
-def expired_snapshots(snapshots: DataFrame, keep: str) -> DataFrame:
-    """Snapshots strictly older than the kept one; an error when that one is missing."""
+def expired_snapshots(snapshots: DataFrame, keep: str | None = None) -> DataFrame:
+    """Snapshots strictly older than the kept one; an error when that one is missing.
+
+    ``snapshots`` is the manifest or a written result of ``check_snapshots``. Without ``keep`` the
+    newest readable one is kept; if there is none, nothing has expired.
+    """
+    if keep is None:
+        return snapshots.filter(F.col("saved") < snapshots.filter("valid").agg(F.max("saved")).scalar()).select("saved")
     if snapshots.filter(F.col("saved") == keep).isEmpty():
         raise ValueError(f"no snapshot {keep}")
     return snapshots.filter(F.col("saved") < keep).select("saved")

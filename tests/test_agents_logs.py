@@ -212,6 +212,13 @@ def test_phases_ignore_hot_limit(spark, monkeypatch):
     assert phases(df) == want
 
 
+def test_hot_dependency_probe_has_shares(spark):
+    """The table that the rows are joined to knows how many rows each dependency probe has."""
+    df = probes(spark, *[[("d", 0, True), ("d", 0, True), ("m", 1, True)] for _ in range(20)])
+    marks = h._probe_marks(df, h._service_milestones(df, 60_000))
+    assert sorted((r.probe, r.probe_rows, r.monitor_rows) for r in marks.collect()) == [(0, 40, 0), (1, 20, 20)]
+
+
 def test_silence(spark):
     import datetime as dt
     t = dt.datetime(2024, 1, 1)

@@ -37,6 +37,44 @@ def test_rejected(trees):
         "wrong": "unsupported version", "bad": "not JSON", "none": "version undefined"}
 
 
+def tree(n, text="v"):
+    return '{"schema": "http://example.org/specification/v2.0.0", "global": {"n": "%d", "t": "%s"}}' % (n, text)
+
+
+def test_several_trees_in_a_file(spark, tmp_path):
+    odd = r'a } \\ \" [ { é'
+    (tmp_path / "two.json").write_text(tree(1) + "\n" + tree(2, odd))
+    (tmp_path / "list.json").write_text(" [" + tree(3) + ", " + tree(4, odd) + "]")
+    (tmp_path / "cut.json").write_text(tree(5) + tree(6)[:-2])
+    (tmp_path / "tail.json").write_text(tree(7) + " rest" + tree(8) + "}")
+    (tmp_path / "quote.json").write_text(tree(9) + ' "')
+    (tmp_path / "bad.json").write_text("[1, 2")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "blank.json").write_text(" \n\t")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "two.json").write_text(tree(10))
+    trees = docs.read_config_trees(spark, [str(tmp_path), str(tmp_path / "more")]).cache()
+    got = sorted((r.doc, r.key, r.value) for r in docs.config_entries(trees).collect())
+    v, o = "v", 'a } \\ " [ { é'
+    want = [("two", 1, v), ("two#2", 2, o), ("list", 3, v), ("list#2", 4, o), ("cut", 5, v), ("tail", 7, v), ("quote", 9, v), ("two", 10, v)]
+    assert got == sorted(x for d, n, t in want for x in ((d, "n", str(n)), (d, "t", t)))
+    bad = sorted((r.doc, r.reason) for r in docs.rejected_docs(trees).collect())
+    assert bad == [("bad", "not JSON"), ("cut#2", "not JSON"), ("quote#2", "not JSON"), ("tail#2", "not JSON"), ("tail#3", "not JSON")]
+
+
+def test_hot_variable_and_dealt_rows(spark, monkeypatch):
+    """A variable that almost all values name, with a low limit for hot keys and no broadcast."""
+    from fleetlens.functions import ordered
+    rows = [("d", "global", None, "hot", "${deep}"), ("d", "global", None, "deep", "x"), ("d", "global", None, "name", "ho")]
+    rows += [("d", "global", None, f"k{i}", "a ${hot} b ${%s} ${none}" % ("deep" if i % 2 else "${name}t")) for i in range(300)]
+    entries = spark.createDataFrame(rows, SCHEMA)
+    want = as_map(c.substitute_vars(entries))
+    assert want[None, "k1"] == "a x b x ${none}" and want[None, "k2"] == "a x b x ${none}"
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 20)
+    assert as_map(c.substitute_vars(entries)) == want
+
+
 @pytest.mark.parametrize("line_entries", [10_000, 3])
 def test_round_trip(spark, trees, tmp_path, line_entries):
     rows = [(f"d{n}", "component", f"c{i % 3}", f"k{i}", str(i * n)) for n in range(5) for i in range(10 * n + 1)]

@@ -140,3 +140,21 @@ def test_join_one(skewed, monkeypatch):
         monkeypatch.setattr(ordered, "HOT_ROWS", hot)
         for how in ("inner", "left"):
             same(ordered.join_one(big, one, ["g"], ["id"], how).select("id", "g", "top"), big.join(one, "g", how))
+
+
+def test_join_one_deals_a_hot_key(spark, skewed, monkeypatch):
+    """Rows of the hot key reach many join partitions."""
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        big = skewed.filter("g is not null")
+        got = ordered.join_one(big, big.groupBy("g").agg(F.max("id").alias("top")), ["g"], ["id"])
+        sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert got.count() == big.count() and len(sizes) > 8 and max(r["count"] for r in sizes) < 5000
+    finally:
+        for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -225,3 +225,33 @@ def test_delta_and_progress(spark):
     assert {r.role_id: r.delta for r in lc.role_delta(roles).collect()} == {0: -1, 1: 0, 2: 3}
     assert lc.progress(roles).first().progress == 1.0
     assert lc.progress(roles.withColumn("desired", F.lit(0))).first().progress == 100.0
+
+
+def test_only_reached_cells_are_ranked(spark, monkeypatch):
+    """Few hosts are asked for or released: the rest is ruled out by histograms before any ranking."""
+    from fleetlens.functions import ordered
+    cells = spark.range(20_000).select(
+        (F.col("id") % 2).cast("int").alias("role_id"), F.col("id").alias("host"),
+        F.when(F.col("id") % 4 < 2, 0).otherwise(F.col("id") % 90 + 1).cast("long").alias("live"), F.lit(0).cast("long").alias("releasing"),
+        F.lit(0).cast("long").alias("requested"), F.lit(0).cast("long").alias("starting"),
+        F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("last_used"))
+    demand = spark.createDataFrame([(0, 40, 300), (1, 30, 200)], "role_id int, k int, n int")
+    ranked = []
+    real = ordered.rank_in_group
+
+    def spy(df, *rest):
+        ranked.append(df.count())
+        return real(df, *rest)
+    monkeypatch.setattr(ordered, "rank_in_group", spy)
+    monkeypatch.setattr(p, "rank_in_group", spy)
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    picked = {(r.role_id, r.slot): r.host for r in p.pick_hosts(cells, demand).collect()}
+    released = sorted((r.role_id, r.rank, r.host, r.copy, r.phase) for r in p.release_by_role(cells, demand).collect())
+    assert max(ranked) < 12_000 // 10
+    rows = cells.collect()
+    for role, k, n in ((0, 40, 300), (1, 30, 200)):
+        free = sorted((r for r in rows if r.role_id == role and r.live == 0), key=lambda r: (-r.last_used, r.host))
+        assert [picked[role, i + 1] for i in range(k)] == [r.host for r in free[:k]]
+        copies = sorted((0 if i < r.live else 1 if r.live == 1 else 2, -r.live, r.host, i)
+                        for r in rows if r.role_id == role for i in range(1, r.live + 1))
+        assert [x for x in released if x[0] == role] == [(role, i + 1, c[2], c[3], c[0]) for i, c in enumerate(copies[:n])]

@@ -31,6 +31,23 @@ def test_write_and_read(spark, cells, tmp_path):
     assert {r.role_id: r["count"] for r in p.available_cells(restored).groupBy("role_id").count().collect()} == {0: 1, 1: 2}
 
 
+def test_manifest_names_the_snapshot_to_read(spark, cells, tmp_path):
+    folder = str(tmp_path / "hist")
+    for at in (0x1000, 0x2000, 0x3000):
+        records = h.history_snapshot(cells, at)
+        h.write_history(records.filter("kind <> 'footer'") if at == 0x3000 else records, folder)
+    h.write_history(h.history_snapshot(cells.limit(1), 0x1000), folder)  # saved again
+    manifest = h.read_manifest(spark, folder)
+    assert sorted((r.saved_ms, r.entries, r.valid) for r in manifest.collect()) == [(0x1000, 1, True), (0x2000, 3, True), (0x3000, 3, False)]
+    records = h.read_history(spark, folder)
+    latest = h.latest_valid_snapshot(records, manifest)
+    assert {r.saved for r in latest.collect()} == {"0000000000002000"}
+    scans = [x for x in latest._jdf.queryExecution().executedPlan().toString().splitlines() if "hist," in x or "hist]" in x]
+    assert scans and all("PartitionFilters: [isnotnull(saved" in x and "Subquery" in x for x in scans)
+    assert [r.saved for r in h.expired_snapshots(manifest).collect()] == ["0000000000001000"]
+    assert h.expired_snapshots(manifest.filter("not valid")).count() == 0
+
+
 def test_purge_sequence(spark):
     live = [f"{i:016x}" for i in range(1, 7)]
     for keep, deleted in [(1, 0), (2, 1), (2, 0), (5, 3), (6, 1)]:
