@@ -249,7 +249,8 @@ def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequen
              written: bool = False) -> DataFrame:
     """Join many rows to a table with one row per key, which need not know how many rows each key has.
 
-    A small table is broadcast. Otherwise the rows of ``big`` are counted per key; those of keys with
+    ``written`` says that ``one`` is cheap to read again. A small table is broadcast. Otherwise the
+    rows of ``big`` are counted per key; those of keys with
     more than ``HOT_ROWS`` are dealt over as many shares as they need by the columns ``spread``, and
     the row of such a key is copied to each share. There are at most rows / HOT_ROWS such keys.
     """
@@ -307,7 +308,11 @@ def first_in_group(df: DataFrame, group: Sequence[str], value: Column, order: Se
                    name: str = "rank") -> DataFrame:
     """The first rows of every group, ranked, with a limit per group in the column ``limit``.
 
-    ``order`` begins with ``value`` falling and nulls last. Only rows that the cut does not rule out are sorted.
+    ``order`` begins with ``value`` falling and nulls last. Of groups beyond ``HOT_ROWS`` only rows
+    that a histogram does not rule out are sorted.
     """
-    kept = cut_in_group(df, group, value, limit).filter(F.col("_side") != OUT).drop("_side", "_left")
-    return rank_in_group(kept, group, order, name).filter(F.col(name) <= F.col(limit))
+    def large(d: DataFrame) -> DataFrame:
+        kept = cut_in_group(d, group, value, limit).filter(F.col("_side") != OUT).drop("_side", "_left")
+        return rank_in_group(kept, group, order, name).filter(F.col(name) <= F.col(limit))
+    position = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")
+    return by_size(df, group, lambda d: d.withColumn(name, position).filter(F.col(name) <= F.col(limit)), large)

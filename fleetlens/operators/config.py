@@ -206,17 +206,17 @@ def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
     looked up by those of its tails that have as many dots as some rule, so the work is one
     equi-join however many rules there are.
     """
-    dotted = lambda c: F.size(F.split(c, r"\."))
+    dotted = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) + 1
+    tail = lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n)
     # one row for each number of dots: how many rules, and their size
     shapes = rules.groupBy(dotted("key_suffix").alias("parts")).agg(
         F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))).alias("bytes")).limit(SHAPES + 1).collect()
     if len(shapes) > SHAPES:
-        counts = F.sequence(F.lit(1), dotted("key"))
+        tails = F.transform(F.sequence(F.lit(1), dotted("key")), tail)
     else:
-        counts = F.filter(F.array(*[F.lit(r.parts) for r in shapes]).cast("array<int>"), lambda n: n <= dotted("key"))
+        tails = F.array(*[F.when(dotted("key") >= r.parts, tail(F.lit(r.parts))) for r in shapes]).cast("array<string>")
         if sum(r.n for r in shapes) <= BROADCAST_ROWS and sum(r.bytes for r in shapes) <= BROADCAST_BYTES:
             rules = F.broadcast(rules)
-    tails = F.transform(counts, lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n))
     hit = entries.filter(F.col("key").isNotNull()).withColumn("key_suffix", F.explode(tails)).join(rules, "key_suffix")
     number = decode_int(F.trim("value"))
     low = F.when((F.col("rule") == "count") | (F.col("min") >= 0), F.col("min"))

@@ -246,7 +246,7 @@ def _offers_in_order(offers: DataFrame, requests: DataFrame, cells: DataFrame) -
     from fleetlens.operators.placement import match_requests
 
     used = cells.select("role_id", "host", "last_used")
-    return join_one(match_requests(offers, requests), used, ["role_id", "host"], ["container_id"], "left")
+    return join_one(match_requests(offers, requests), used, ["role_id", "host"], ["container_id"], "left", written=True)
 
 
 def admit_allocations(offers: DataFrame, roles: DataFrame, requests: DataFrame,
@@ -254,9 +254,10 @@ def admit_allocations(offers: DataFrame, roles: DataFrame, requests: DataFrame,
     """Accept offers up to the desired count of each role, the rest is surplus.
 
     Asked-for hosts come first, then the most recently used ones. ``position`` is the place of
-    every offer; ``decide_allocations`` gives the decisions without ranking them all.
+    every offer; ``decide_allocations`` gives the decisions without ranking them all. ``cells``
+    should be a written table.
     """
-    ranked = rank_in_group(_offers_in_order(offers, requests, cells), ["role_id"], [
+    ranked = rank_in_group(durable(_offers_in_order(offers, requests, cells)), ["role_id"], [
         F.col("requested").desc(), F.col("last_used").desc_nulls_last(), F.col("container_id").asc()], "position")
     return join_one(ranked, roles.select("role_id", "desired", "actual"), ["role_id"], ["container_id"]).select(
         "role_id", "container_id", "host", "requested", "position",

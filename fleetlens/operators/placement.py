@@ -105,7 +105,7 @@ def pick_hosts(cells: DataFrame, demand: DataFrame) -> DataFrame:
         demand = demand.withColumn("policy", F.lit(0))
     wanted = durable(demand.filter(F.col("k") > 0).select("role_id", F.col("k").cast("long").alias("k"), "policy"))
     located = wanted.filter(F.col("policy").bitwiseAND(NO_LOCALITY) == 0).select("role_id", "k")
-    free = join_one(available_cells(cells).select("role_id", "host", "last_used"), located, ["role_id"], ["host"])
+    free = join_one(available_cells(cells).select("role_id", "host", "last_used"), located, ["role_id"], ["host"], written=True)
     ranked = first_in_group(free, ["role_id"], recency(cells), _recent(), "k", "slot")
     # slots are dealt out in blocks, so that a role asking for very many is not one task
     k, block = F.col("k"), F.col("_block")
@@ -174,7 +174,7 @@ def release_by_role(cells: DataFrame, demand: DataFrame) -> DataFrame:
     """
     wanted = durable(demand.filter(F.col("n") > 0).select("role_id", F.col("n").cast("long").alias("n")))
     busy = cells.withColumn("active", active()).filter(F.col("active") > 0).select("role_id", "host", "active")
-    loads = join_one(busy.groupBy("role_id", "active").agg(F.count("*").alias("_hosts")), wanted, ["role_id"], ["active"])
+    loads = join_one(busy.groupBy("role_id", "active").agg(F.count("*").alias("_hosts")), wanted, ["role_id"], ["active"], written=True)
     act = F.col("active")
     classes = loads.select("role_id", "n", "active", "_hosts", F.inline(F.array(
         F.struct(F.lit(0).alias("phase"), F.least(act - 1, F.col("n")).alias("_each")),
@@ -184,7 +184,7 @@ def release_by_role(cells: DataFrame, demand: DataFrame) -> DataFrame:
     reached = durable(begun.filter(F.col("_left") > 0).select(
         "role_id", "active", "phase", "n", "_each", "_left", F.ceil(F.col("_left") / F.col("_each")).alias("_need")))
     phases = reached.groupBy("role_id", "active").agg(F.collect_list(F.struct("phase", "n", "_each", "_left", "_need")).alias("_p"))  # two at most
-    hosts = join_one(busy, phases, ["role_id", "active"], ["host"]).select("role_id", "host", "active", F.inline("_p"))
+    hosts = join_one(busy, phases, ["role_id", "active"], ["host"], written=True).select("role_id", "host", "active", F.inline("_p"))
     most = reached.agg(F.max(F.least("_need", "n"))).first()[0] or 0
     taken = first_k_in_group(hosts, ["role_id", "active", "phase"], [F.col("host").asc()], most, "_place").filter(
         F.col("_place") <= F.col("_need"))
@@ -274,7 +274,7 @@ def containers_to_release(containers: DataFrame, candidates: DataFrame) -> DataF
     most = chosen.agg(F.max("copy")).first()[0] or 0
     hosts = chosen.groupBy("role_id", "host").agg(F.max("copy").alias("_copies"))
     free = join_one(containers.filter(~F.col("releasing")).select("role_id", "host", "container_id"), hosts,
-                    ["role_id", "host"], ["container_id"]).drop("_copies")
+                    ["role_id", "host"], ["container_id"], written=True).drop("_copies")
     named = first_k_in_group(free, ["role_id", "host"], [F.col("container_id").asc()], most, "copy")
     return chosen.join(named, ["role_id", "host", "copy"], "left").select(
         "role_id", "rank", "host", "container_id")
