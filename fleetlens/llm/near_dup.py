@@ -253,9 +253,13 @@ def _by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return small_batches(df).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def class_components(classes: DataFrame, documents: DataFrame, size: int, percent: int,
+def class_components(classes: DataFrame, documents: DataFrame, repeated: DataFrame, size: int, percent: int,
                      cluster_limit: int) -> DataFrame:
-    """``cid, root`` of every class that is linked with another one."""
+    """``cid, root`` of every class that is linked with another one.
+
+    The text of a class is that of the document (id, hash of text) that stands for it; ``repeated``, a
+    written table, lists the (doc_id, text_hash) that several rows share.
+    """
     need = matches_needed(percent)
     tokens = classes.select("cid", F.posexplode("sig").alias("place", "value")).select(
         "cid", (F.shiftleft(F.col("place").cast("long"), 48).bitwiseOR(F.col("value"))).alias("token"))
@@ -271,16 +275,22 @@ def class_components(classes: DataFrame, documents: DataFrame, size: int, percen
     meets = components(prefix.join(hubs, "token").filter("cid <> hub")
                        .select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     member = durable(meets.withColumnsRenamed({"node": "cid", "component": "cluster"})
-                     .join(classes.select("cid", "doc_id", "k1", "k2", "n_shingles"), "cid"))
+                     .join(classes.select("cid", "rep", "k1", "k2", "n_shingles"), "cid"))
     weight = member.groupBy("cluster").agg(
         F.ceil(F.sum("n_shingles") / cluster_limit).cast("int").alias("chunks"))
     large = durable(weight.filter("chunks > 1"))  # their weight bounds their number
     placed = member.join(weight, "cluster").withColumn(
         "chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).drop("chunks")
-    texts = documents.select(F.col("doc_id").alias("t_id"), "text")
-    sets = arrow_map(
-        texts.join(placed, F.col("t_id").eqNullSafe(F.col("doc_id"))).select("cluster", "chunk", "cid", "k1", "k2", "text"),
-        _sets(size), "cluster long, chunk int, cid long, shingles array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("t_id"), F.xxhash64("text").alias("t_hash"), "text")
+    placed = placed.select("cluster", "chunk", "cid", "k1", "k2", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
+    columns = ["cluster", "chunk", "cid", "k1", "k2", "text"]
+    meets = rows.join(placed, F.col("t_id").eqNullSafe(F.col("r_id")) & (F.col("t_hash") == F.col("r_hash")))
+    texts = meets.select(columns)
+    if not repeated.isEmpty():  # of rows that share id and text one is enough, taken on the map side
+        many = F.col("r_id").eqNullSafe(F.col("doc_id")) & (F.col("r_hash") == F.col("text_hash"))
+        one = meets.join(repeated, many, "left_semi").groupBy(*columns[:-1]).agg(F.min("text").alias("text"))
+        texts = meets.join(repeated, many, "left_anti").select(columns).union(one.select(columns))
+    sets = arrow_map(texts, _sets(size), "cluster long, chunk int, cid long, shingles array<long>")
     if large.isEmpty():
         links = durable(_by_group(sets, ["cluster", "chunk"], _settled(percent), "a long, b long"))
         return links.select(F.col("a").alias("cid"), F.col("b").alias("root"))
@@ -345,9 +355,11 @@ def _named(documents: DataFrame, size: int, percent: int, cluster_limit: int) ->
                              "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sig array<long>"))
     classes = durable(
         docs.filter("n_shingles > 0").groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"),
+             F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         .withColumn("cid", F.monotonically_increasing_id()))
-    found = class_components(classes, documents, size, percent, cluster_limit)
+    repeated = durable(docs.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"))
+    found = class_components(classes, documents, repeated, size, percent, cluster_limit)
     named = classes.select("cid", "k1", "k2", "doc_id").join(found, "cid", "left").withColumn(
         "root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
