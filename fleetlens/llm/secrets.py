@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.tables import free_names
+
 MAX_ALTERNATIVES = 64
 
 
@@ -154,25 +156,24 @@ def secret_candidates(documents: DataFrame, rules: Sequence[Rule] = RULES) -> Da
             .groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers")))
 
 
-def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """All columns of ``documents`` (doc_id, text, ...) and ``secret_spans``, an array of (start, kind, end).
+def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES, column: str = "secret_spans") -> DataFrame:
+    """All columns of ``documents`` (doc_id, text, ...) and ``column``, an array of (start, kind, end).
 
     ``kind`` is the rule's place in ``rules``; spans are sorted by start, then kind. A null or
     empty text has no spans. Rows with a null doc_id and repeated rows are treated like all
-    others and stay as they are; a column ``secret_spans`` of the input is replaced. An empty
-    table gives an empty result.
+    others and stay as they are; a column of the input called ``column`` is replaced, others stay,
+    whatever they are called. An empty table gives an empty result.
     """
+    a, b, n_rules = free_names(documents, "_doc", "_hash", "_numbers")
     found = secret_candidates(documents, rules).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "numbers")
-    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_", "numbers": "_numbers_"})
-    joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
+        F.col("doc_id").alias(a), F.col("text_hash").alias(b), F.col("numbers").alias(n_rules))
+    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)), "left")
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     spans = [_spans(text, r, n) if trigram_query(r.pattern) is None
-             else F.when(F.array_contains("numbers", F.lit(n)), _spans(text, r, n)).otherwise(none)
+             else F.when(F.array_contains(n_rules, F.lit(n)), _spans(text, r, n)).otherwise(none)
              for n, r in enumerate(rules)]
-    out = joined.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop("_doc", "_hash", "numbers")
-    return out.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash", "_numbers_": "numbers"})
+    return joined.withColumn(column, F.array_sort(F.concat(*spans))).drop(a, b, n_rules)
 
 
 def count_kind(spans: Column, number: int) -> Column:
@@ -189,9 +190,11 @@ def spans_text(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
 def redact(documents: DataFrame, mark: str = "[REDACTED]", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``documents`` with every secret replaced by ``mark``; spans that overlap become one.
 
-    Texts without a secret, null and empty texts stay as they are; columns and rows too.
+    Texts without a secret, null and empty texts stay as they are; columns and rows too, also a
+    column ``secret_spans``. Rows that repeat an id or have none are masked each by its own text.
     """
-    hit = F.col("secret_spans")
+    name = free_names(documents, "secret_spans")[0]
+    hit = F.col(name)
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     merged = F.aggregate(hit, empty, lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).end > s.start),
@@ -203,5 +206,5 @@ def redact(documents: DataFrame, mark: str = "[REDACTED]", rules: Sequence[Rule]
         starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(v, lambda s: s.end))
         ends = F.concat(F.transform(v, lambda s: s.start), F.array(F.char_length("text").cast("bigint")))
         return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), mark)
-    found = find_secrets(documents, rules)
+    found = find_secrets(documents, rules, name)
     return found.withColumn("text", F.when(F.size(hit) > 0, _let(merged, cut)).otherwise(F.col("text"))).select(*documents.columns)

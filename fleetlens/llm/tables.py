@@ -40,6 +40,18 @@ def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return small_batches(df).mapInArrow(each, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 SMALL_ROWS = 500_000  # rows of two numbers that may be broadcast, about 10 MB
 
 
@@ -47,13 +59,13 @@ def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
     """``documents`` without the rows whose (doc_id, hash of text) is listed in ``gone`` (doc_id, text_hash).
 
     The list is written once and counted; only a short one is broadcast, a long one meets the
-    documents in a shuffled join.
+    documents in a shuffled join. Null ids are equal to each other; rows with a null text are
+    listed by the hash of null; all columns stay, whatever they are called.
     """
-    gone = durable(gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
-    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_"})
-    same = docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    left = docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, same, "left_anti")
-    return left.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
+    a, b = free_names(documents, "_doc", "_hash")
+    gone = durable(gone.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    return documents.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, same, "left_anti")
 
 
 def single_rows(documents: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -63,15 +75,14 @@ def single_rows(documents: DataFrame, repeated: DataFrame) -> DataFrame:
     """
     if repeated.isEmpty():
         return documents
-    keys = repeated.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    a, b, row = free_names(documents, "_doc", "_hash", "_row")
+    keys = repeated.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
     keys = F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
-    docs = documents.withColumnsRenamed({"_doc": "_doc_", "_hash": "_hash_"})
-    same = docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    one = (docs.join(keys, same).groupBy("_doc", "_hash")  # a minimum on the map side first
-           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row")).select("row.*"))
-    out = docs.join(keys, same, "left_anti").unionByName(one)
-    return out.withColumnsRenamed({"_doc_": "_doc", "_hash_": "_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    hashed = [c for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]
+    one = (documents.join(keys, same).groupBy(a, b)  # a minimum on the map side first
+           .agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*hashed)).alias(row)).select(f"{row}.*"))
+    return documents.join(keys, same, "left_anti").unionByName(one)
 
 
 def components(edges: DataFrame) -> DataFrame:
