@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from fleetlens.session import durable
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5))
 WINDOW, EQUAL = 12, 10   # a window of twelve words counts with ten equal ones
-LEAST = 5                # items of 5 to 11 words must occur whole; shorter ones are never matched
+TOLERANT = 5             # items of 5 to 11 words may differ in one word; shorter ones must occur word for word
 MARGIN = 24              # words kept around hits
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,8 +49,13 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(h + np.uint64(sum(1 << p for p in mask)))
 
 
-def _masks_for(short: list[int]) -> list[tuple[int, ...]]:
-    return [*MASKS, *[tuple(range(n)) for n in short]]
+def masks_for(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of ``n`` words; of a short one each leaves out a third of the places, so one misses any word."""
+    if n >= WINDOW:
+        return list(MASKS)
+    if n < TOLERANT:
+        return [tuple(range(n))] if n else []
+    return [tuple(p for p in range(n) if p % 3 != r) for r in range(3)]
 
 
 def _item_words(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -66,8 +72,9 @@ def _item_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
     for i, k in enumerate(batch.column(0).to_pylist()):
         words = flat[at[i]:at[i + 1]]
-        for mask in MASKS if len(words) >= WINDOW else [tuple(range(len(words)))] if len(words) >= LEAST else []:
+        for mask in masks_for(len(words)):
             h = seed_hashes(words, mask)
+            h = h if len(words) >= WINDOW else h[:1]
             item += [k] * len(h)
             pos += range(len(h))
             seed.append(h)
@@ -120,7 +127,8 @@ def _regions(bits: np.ndarray, masks: list[tuple[int, ...]]):
 
 def equal_windows(doc: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
     """Places of ``doc`` in windows that agree with ``item`` when item word 0 lies at ``shift``."""
-    width, need = (WINDOW, EQUAL) if len(item) >= WINDOW else (len(item), len(item))
+    n = len(item)
+    width, need = (WINDOW, EQUAL) if n >= WINDOW else (n, n - 1 if n >= TOLERANT else n)
     lo, hi = max(0, shift), min(len(doc), shift + len(item))
     if hi - lo < width:
         return np.zeros(0, np.int64)
@@ -136,22 +144,29 @@ def equal_windows(doc: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    keep, start, end, equal = [], [], [], []
-    doc, item = batch.column("words"), batch.column("item_words")
-    da, dv = doc.offsets.to_numpy(), doc.values.to_numpy()
-    ia, iv = item.offsets.to_numpy(), item.values.to_numpy()
-    begin, shift = batch.column("begin").to_numpy(), batch.column("shift").to_numpy()
+    """The best diagonal of each region and item."""
+    keep, best = [], []
+    lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("words", "item_words", "shifts")}
+
+    def of(c: str, k: int) -> np.ndarray:
+        offsets, values = lists[c]
+        return values[offsets[k]:offsets[k + 1]]
+    begin = batch.column("begin").to_numpy()
     for k in range(batch.num_rows):
-        at = equal_windows(dv[da[k]:da[k + 1]], iv[ia[k]:ia[k + 1]], int(shift[k] - begin[k]))
-        if len(at):
+        doc, item, top = of("words", k), of("item_words", k), None
+        for shift in of("shifts", k):
+            at = equal_windows(doc, item, int(shift - begin[k]))
+            if len(at):
+                found = (len(at), -int(at[0] + begin[k]), int(at[-1] + begin[k]) + 1)
+                top = max(top, found) if top else found
+        if top:
             keep.append(k)
-            start.append(int(at[0] + begin[k]))
-            end.append(int(at[-1] + begin[k]) + 1)
-            equal.append(len(at))
+            best.append(top)
     if not keep:
         return None
     rest = batch.select(["doc_id", "text_hash", "item_id"]).take(pa.array(keep))
-    return pa.RecordBatch.from_arrays([*rest.columns, pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(equal, pa.int64())],
+    equal, back, end = (pa.array(x, pa.int64()) for x in zip(*best))
+    return pa.RecordBatch.from_arrays([*rest.columns, pc.negate(back), end, equal],
                                       ["doc_id", "text_hash", "item_id", "first_word", "end_word", "n_equal"])
 
 
@@ -160,29 +175,32 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits (A-Z and Latin-1 capitals lower-cased, other ASCII signs
     part words, other characters belong to words). A document overlaps with an item (item_id,
-    text) if some aligned window of 12 words has 10 equal ones; an item of 5 to 11 words must
-    occur whole, a shorter or null one never matches. ``n_equal`` counts equal words in such
-    windows on the best diagonal; the word places are zero-based.
+    text) if some aligned window of 12 words has 10 equal ones; an item of 5 to 11 words must occur
+    with at most one other word in its place, a shorter one word for word; a null one or one without
+    words never matches. ``n_equal`` counts equal words in such windows on the best diagonal; the
+    word places are zero-based.
 
     Null, empty and one-word texts overlap with nothing. Rows that repeat a document count once,
     a null doc_id or item_id is kept, other columns are not read. Empty tables give no rows.
     """
     items = durable(arrow_map(benchmark.select(F.col("item_id").cast("long"), "text"), _item_words, "item_id long, words array<long>")
                     .withColumn("item", F.monotonically_increasing_id()))
-    short = [r[0] for r in items.select(F.size("words").alias("n")).filter(F.col("n").between(LEAST, WINDOW - 1)).distinct().collect()]
+    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()]
+    masks = [m for n in sorted({*sizes, WINDOW}, reverse=True) for m in masks_for(n)]
     seeds = durable(arrow_map(items.select("item", "words"), _item_seeds, "item long, item_pos long, seed long"))
     bits = bit_table(seeds, "seed")
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    regions = durable(arrow_map(docs, _regions(bits, _masks_for(sorted(short))),
+    regions = durable(arrow_map(docs, _regions(bits, masks),
                                 "doc_id long, text_hash long, begin long, words array<long>, hits array<long>, seeds array<long>")
                       .withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", F.explode(F.arrays_zip("hits", "seeds")).alias("h")).select(
         "region", F.col("h.hits").alias("pos"), F.col("h.seeds").alias("seed"))
-    diagonals = hits.join(seeds, "seed").select(
-        "region", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    # a region holds its words once for each item, not for each diagonal; it has no more diagonals than words
+    diagonals = hits.join(seeds, "seed").groupBy("region", "item").agg(
+        F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     pairs = (diagonals.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
              .join(regions.select("region", "doc_id", "text_hash", "begin", "words"), "region")
-             .select("doc_id", "text_hash", "begin", "words", "item_id", "item_words", "shift"))
+             .select("doc_id", "text_hash", "begin", "words", "item_id", "item_words", "shifts"))
     found = arrow_map(pairs, _verified,
                       "doc_id long, text_hash long, item_id long, first_word long, end_word long, n_equal long")
     best = F.max(F.struct("n_equal", (-F.col("first_word")).alias("back"), "end_word"))
@@ -192,5 +210,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without the rows that overlap with a benchmark item; all columns stay."""
+    """``documents`` without the rows that overlap with a benchmark item; all columns stay, whatever they are called.
+
+    Null and empty texts overlap with nothing and stay; of rows that repeat an id, or have none, each is
+    judged by its own text; an empty table of either kind changes nothing.
+    """
     return without_rows(documents, contaminated(documents, benchmark))

@@ -56,6 +56,23 @@ def found_components(df, *args, **kw):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, *args, **kw).collect()), key=repr)
 
 
+@pytest.mark.parametrize("none", [True, False])
+def test_many_rows_with_one_id_or_none(spark, none):
+    """Different texts under one id are told apart, and equal rows count once."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(400):
+        base = [rng.choice(words) for _ in range(30)]
+        rows += [(None if none else 7, " ".join(base)), (None if none else 7, " ".join([*base, "end"]))]
+    rows += [(None if none else 7, "one text that very many rows share " * 4)] * 1500 + [(9, rows[0][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_dup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    docs = near_dup.drop_near_duplicates(df).collect()
+    assert len(docs) == 401  # one of each pair, one of the shared text
+
+
 def test_near_dup_query(spark, small):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in QUERIES["op2_minhash_near_dedup"][0](spark, small).collect()), key=repr)
     assert got == brute_components(docs_of(spark, small), 3, 85)
@@ -148,9 +165,9 @@ def brute_overlaps(docs, items):
             place[x].append(i)
         for k, text in items:
             b = plain(text)
-            width, need = (12, 10) if len(b) >= 12 else (len(b), len(b))
+            width, need = (12, 10) if len(b) >= 12 else (len(b), len(b) - (len(b) >= 5))
             best = 0
-            for shift in {p - j for j, x in enumerate(b) for p in place[x]} if len(b) >= 5 else ():
+            for shift in {p - j for j, x in enumerate(b) for p in place[x]}:
                 lo, hi = max(0, shift), min(len(w), shift + len(b))
                 same, inside = [w[q] == b[q - shift] for q in range(lo, hi)], set()
                 for q in range(len(same) - width + 1):
@@ -168,6 +185,39 @@ def test_masks_hit_every_tolerated_stretch():
         assert any(all(o + p not in gaps for p in mask) for mask in decontaminate.MASKS for o in range(12 - mask[-1]))
 
 
+def test_short_masks_hit_every_tolerated_item():
+    for n in range(1, 12):
+        masks = decontaminate.masks_for(n)
+        for gap in range(n) if n >= 5 else [None]:
+            assert any(gap not in m for m in masks), (n, gap)
+
+
+def test_short_items_with_one_other_word(spark):
+    """Items of 1 to 11 words, whole, with one other word at each place, and with two."""
+    items, rows = [], [(1, None), (2, ""), (3, "unrelated words only")]
+    for n in range(1, 12):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        rows.append((100 * n, "before " + ", ".join(words) + " after"))
+        rows.append((100 * n + 50, " ".join(words)))
+        for k in range(n):
+            other = [*words[:k], "other", *words[k + 1:]]
+            rows += [(100 * n + 1 + k, " ".join(["x"] * (k % 3) + other + ["y"] * (k % 2))),
+                     (100 * n + 60 + k, " ".join([*other[:(k + 2) % n], "two", *other[(k + 2) % n + 1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == brute_overlaps(rows, items)
+    assert all((100 * n, n) in got and ((100 * n + 1, n) in got) == (n >= 5) for n in range(1, 12))
+
+
+def test_a_repeated_passage_costs_one_row_a_region(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, (item + " gap ") * 2000)], "doc_id long, text string")
+    got = decontaminate.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_equal, r.first_word, r.end_word) for r in got] == [(1, 7, 30, 0, 30)]
+
+
 def test_decontamination_query(spark, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id): r.n_equal for r in QUERIES["op4_benchmark_decontamination"][0](spark, small).collect()}
