@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.tables import arrow_map
 
 FIT_PAGES = 400          # pages learned from at most, those with the smallest hashes
-FIT_CHARS = 20_000       # only pages up to this length are learned from; all pages are extracted whole
+FIT_CHARS = 4_000_000    # characters of all these pages together; the first page is taken whatever its length
 TREES, DEPTH, BINS, SHRINK = 40, 4, 32, 0.25
 SWITCH = 1.5             # cost of deciding for each child
 
@@ -487,12 +487,31 @@ def learn(pages: list[str], seed: int = 4) -> Extractor:
     return Extractor(BoostedTrees().fit(x, np.concatenate([y for _, y in parsed])), odds)
 
 
+# what marks a part beside the main text where there is nothing to learn from: elements, and words in their attributes
+SIDE_TAGS = {"nav", "menu", "header", "footer", "aside", "form", "dialog"}
+SIDE_WORDS = {w for names in SIDE_NAMES.values() for w in names} - {"top", "contact", "discussion", "responses", "sponsored"}
+
+
+def by_names(nodes: list[Node]) -> list[bool]:
+    """Which nodes to keep by names alone; a part inside one that is left out is left out as well."""
+    keep: list[bool] = []
+    for x in nodes:
+        beside = x.tag in SIDE_TAGS or (x.tag not in ("body", "html", "article", "main") and not SIDE_WORDS.isdisjoint(x.tokens))
+        keep.append(not beside and (x.parent < 0 or keep[x.parent]))
+    return keep
+
+
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Extractor | None:
-    """An extractor learned from at most ``fit_pages`` pages with an article or main element."""
-    usable = pages.filter(F.col("html").rlike("(?is)<(article|main)\\b.*</(article|main)>") & (F.length("html") <= FIT_CHARS)).select(
+    """An extractor learned from at most ``fit_pages`` whole pages with an article or main element.
+
+    Pages come in the order of their hashes, whatever their length, until they have ``FIT_CHARS`` together.
+    """
+    usable = pages.filter(F.col("html").rlike("(?is)<(article|main)\\b.*</(article|main)>")).select(
         "html", F.xxhash64("html").alias("hash"))
     # first the hashes alone, so that no task sends pages that are not chosen; copies of a page count once
-    chosen = [r.hash for r in usable.select("hash").distinct().orderBy("hash").limit(fit_pages).collect()]
+    first = usable.groupBy("hash").agg(F.max(F.length("html")).alias("size")).orderBy("hash").limit(fit_pages).collect()
+    total = np.cumsum([r.size for r in first])
+    chosen = [r.hash for i, r in enumerate(first) if i == 0 or total[i] <= FIT_CHARS]
     rows = sorted(r.html for r in usable.filter(F.col("hash").isin(chosen)).groupBy("hash").agg(F.min("html").alias("html")).collect())
     return learn(rows) if rows else None
 
@@ -505,15 +524,15 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     ``n_chars`` counts its code points.
 
     A null or empty page has an empty text. Repeated rows get equal results, null ids and urls
-    stay null, other columns are not read, an empty table gives no rows. Without any page to
-    learn from, the text of all blocks outside script, style and the like is returned.
+    stay null, other columns are not read, an empty table gives no rows. Where no page has
+    an article or main element to learn from, parts are told by the names of their elements and attributes.
     """
     model = fit(pages, fit_pages)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pages = batch.column(2).to_pylist()
         if model is None:
-            texts = [joined_text(nodes, [True] * len(nodes)) for nodes in map(parse, [p or "" for p in pages])]
+            texts = [joined_text(nodes, by_names(nodes)) for nodes in map(parse, [p or "" for p in pages])]
         else:
             texts = model.texts(pages)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),

@@ -93,3 +93,48 @@ def test_repeated_sentences_do_not_outvote_the_quoted_message(spark):
     want = {5: (2, 2), 6: (2, 2), 7: (1, 2), 8: (3, 1), 9: (4, 1), 10: (3, 1), 12: (0, 3)}
     assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in out if r.reply_to is not None} == {
         (c, t): v for c in (1, 2) for t, v in want.items()}
+
+
+# --- pages of any length, with and without something to learn from ------------------------------------
+
+def long_page(i, paragraphs, tag="article"):
+    story = "".join(f"<p>Story {i} goes on with sentence number {k} of its long text.</p>" for k in range(paragraphs))
+    return (f'<html><body><nav class="menu"><ul><li><a href="/">Home {i}</a></li><li><a href="/a">About</a></li></ul></nav>'
+            f"<{tag}><h1>Title {i}</h1>{story}</{tag}><footer>Imprint {i}</footer></body></html>")
+
+
+def story_text(i, paragraphs):
+    return "\n".join([f"Title {i}", *(f"Story {i} goes on with sentence number {k} of its long text." for k in range(paragraphs))])
+
+
+def test_tables_of_long_pages_only(spark):
+    df = spark.createDataFrame([(i, "u", long_page(i, 400)) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert len(long_page(0, 400)) > 20_000 and all(got[i] == story_text(i, 400) for i in range(20))
+
+
+def test_pages_without_anything_to_learn_from(spark):
+    df = spark.createDataFrame([(1, "u", long_page(1, 3, "div")), (2, "u", None), (3, "u", '<div class="cookie-box">We use<p>them</p></div><p>Text')],
+                               "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {1: story_text(1, 3), 2: "", 3: "Text"}
+
+
+# --- columns with names that operators use inside ------------------------------------------------------
+
+def test_columns_with_clashing_names_stay(spark):
+    from fleetlens.llm import decontaminate
+    names = "secret_spans _doc _doc_ _hash _hash_ _numbers numbers _row".split()
+    rows = [(1, "my password = hunter2000 ok", *[f"{n}!" for n in names]), (1, "nothing", *names), (None, None, *names), (3, "", *names),
+            (1, "nothing", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = secrets.redact(df, "[R]")
+    assert out.dtypes == df.dtypes
+    want = [(1, "my [R] ok", *[f"{n}!" for n in names]), *rows[1:]]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    found = secrets.find_secrets(df)
+    assert found.columns == df.columns and found.dtypes[2][1].startswith("array")
+    bench = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
+    left = decontaminate.without_contaminated(df, bench)
+    assert left.dtypes == df.dtypes and left.count() == 3
+    one = near_dup.drop_near_duplicates(df)
+    assert one.dtypes == df.dtypes and one.count() == 4
