@@ -21,7 +21,8 @@ CHUNK = 250         # filter places in a chunk
 LAGS = range(2, 42)
 PAD = 256           # symbol after a text's end
 FIT_ROWS = 3000     # labelled rows used at most, those with the smallest hashes
-FIT_CHUNKS = 16     # chunks of a labelled row used for learning, spread over the text
+FIT_BYTES = 24_000_000  # bytes of their texts together; texts are learned from whole
+PIECE = 4096        # chunks run through the filters at once
 EPOCHS, RATE, BATCH = 12, 0.01, 64
 SEGMENT = 1 << 16
 PARTS = ("table", "bias", "w1", "b1", "w2", "b2")
@@ -125,13 +126,16 @@ class ByteNetwork:
                 rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
                 counts = first[docs + 1] - first[docs]
                 begin = np.cumsum(counts) - counts
-                x = chunks[rows]
-                total = self.table[0][x[:, :CHUNK]]
-                for k in range(1, WIDTH):
-                    total += self.table[k][x[:, k:k + CHUNK]]
-                total[x[:, :CHUNK] == PAD] = -1e9
-                where = total.argmax(axis=1)
-                raw = np.take_along_axis(total, where[:, None], axis=1)[:, 0]
+                raw = np.empty((len(rows), FILTERS), np.float32)
+                where = np.empty((len(rows), FILTERS), np.int64)
+                for some in range(0, len(rows), PIECE):
+                    x = chunks[rows[some:some + PIECE]]
+                    total = self.table[0][x[:, :CHUNK]]
+                    for k in range(1, WIDTH):
+                        total += self.table[k][x[:, k:k + CHUNK]]
+                    total[x[:, :CHUNK] == PAD] = -1e9
+                    where[some:some + PIECE] = total.argmax(axis=1)
+                    raw[some:some + PIECE] = np.take_along_axis(total, where[some:some + PIECE, None], axis=1)[:, 0]
                 z, active = self.pooled(raw, match[rows], begin)
                 logit, h = self.logits(z)
                 error = (1 / (1 + np.exp(-logit)) - good[docs]) / len(docs)
@@ -147,7 +151,7 @@ class ByteNetwork:
                 table = np.zeros_like(self.table)
                 filters = np.arange(FILTERS)
                 for k in range(WIDTH):
-                    flat = np.take_along_axis(x, where + k, axis=1).astype(np.int64) * FILTERS + filters
+                    flat = chunks[rows[:, None], where + k].astype(np.int64) * FILTERS + filters
                     table[k] = np.bincount(flat.ravel(), d.ravel(), (PAD + 1) * FILTERS).reshape(PAD + 1, FILTERS)
                 table[:, PAD] = 0
                 grad["table"] = table
@@ -165,34 +169,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """At most FIT_CHUNKS chunks of each text, as bytes (two each symbol), with their self-match."""
+def _chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All chunks of each text, as bytes (two each symbol), with their self-match."""
     x, begin = symbols(*text_bytes(batch.column(2)))
     start, size, text = chunk_starts(begin)
-    match = self_match(x, start, size)
+    match = self_match(x, start, size).astype(np.float64)
     first = np.searchsorted(text, np.arange(batch.num_rows + 1))
     x = np.append(x, np.full(CHUNK + WIDTH, PAD, np.uint16))
-    rows, matches = [], []
+    rows = []
     for i in range(batch.num_rows):
-        n = first[i + 1] - first[i]
-        take = first[i] + np.unique(np.linspace(0, n - 1, min(n, FIT_CHUNKS)).astype(np.int64))
-        part = x[start[take][:, None] + np.arange(CHUNK + WIDTH - 1)]
-        stop = size[take][:, None] + WIDTH - 1 <= np.arange(CHUNK + WIDTH - 1)
-        part[stop] = PAD
+        own = slice(first[i], first[i + 1])
+        part = x[start[own][:, None] + np.arange(CHUNK + WIDTH - 1)]
+        part[size[own][:, None] + WIDTH - 1 <= np.arange(CHUNK + WIDTH - 1)] = PAD
         rows.append(part.astype("<u2").tobytes())
-        matches.append(match[take].astype(np.float64))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary()), pa.array(matches, pa.list_(pa.float64()))],
-                                      ["doc_id", "good", "chunks", "match"])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(rows, pa.binary()),
+         pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(match))], ["doc_id", "good", "chunks", "match"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ByteNetwork | None:
-    """A network learned from at most ``fit_rows`` labelled rows outside the held-out fold."""
+    """A network learned from at most ``fit_rows`` labelled rows outside the held-out fold.
+
+    Rows come in the order of the hashes of their ids until their texts have ``FIT_BYTES`` together; each
+    text is used whole. Rows that repeat id and text count once.
+    """
     sample = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.min("quality").alias("_good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     # the sample has at most fit_rows rows of two numbers
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
-        F.col("doc_id").cast("long"), F.col("_good").cast("int").alias("good"), "text")
-    got = arrow_map(rows, _sampled, "doc_id long, good int, chunks binary, match array<double>").limit(2 * fit_rows).collect()
+        F.col("doc_id").cast("long"), F.col("_good").cast("int").alias("good"), F.coalesce("text", F.lit("")).alias("text"),
+        F.xxhash64("text").alias("hash"))
+    sizes = rows.groupBy("doc_id", "hash").agg(F.max(F.octet_length("text")).alias("size")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "hash").limit(fit_rows).collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    chosen = [(r.doc_id, r.hash) for i, r in enumerate(sizes) if i == 0 or total[i] <= FIT_BYTES]
+    if not chosen:
+        return None
+    chosen = documents.sparkSession.createDataFrame(chosen, "doc_id long, hash long")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(
+        F.first("good").alias("good"), F.min("text").alias("text")).select("doc_id", "good", "text")
+    got = arrow_map(texts, _chunked, "doc_id long, good int, chunks binary, match array<double>").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.good, bytes(r.chunks)))
     good = np.array([min(1, max(0, r.good)) for r in got], np.float32)
     if not len(good) or good.min() == good.max():
