@@ -84,11 +84,15 @@ def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _said(messages: DataFrame, passages: DataFrame) -> DataFrame:
     """``conv_id, key, turn`` of the sentences, and of the runs as long as some quoted passage, that are quoted and said."""
+    # a run can only begin where its first sentence stands, so only these places are hashed as runs
     long = F.size("hashes") > 1
-    sizes = broadcast_if_small(durable(passages.filter(long).select("conv_id", F.size("hashes").alias("size")).distinct()))
-    starts = F.sequence(F.lit(1), F.size("said") - F.col("size") + 1)
-    runs = messages.join(sizes, "conv_id").filter(F.size("said") >= F.col("size")).select(
-        "conv_id", "turn", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("said", i, F.col("size"))))).alias("key"))
+    firsts = broadcast_if_small(durable(passages.filter(long).select(
+        "conv_id", F.element_at("hashes", 1).alias("key"), F.size("hashes").alias("size")).distinct()))
+    starts = messages.select("conv_id", "row", F.posexplode("said").alias("at", "key")).join(firsts, ["conv_id", "key"]).groupBy(
+        "row").agg(F.collect_list(F.struct("at", "size")).alias("starts"))  # places of one message
+    runs = messages.join(starts, "row").select("conv_id", "turn", F.explode(F.transform(
+        F.filter("starts", lambda p: p["at"] + p["size"] <= F.size("said")),
+        lambda p: F.xxhash64(F.slice("said", p["at"] + 1, p["size"])))).alias("key"))
     keys = passages.select("conv_id", F.explode(F.concat("hashes", F.array("run"))).alias("key")).distinct()
     said = messages.select("conv_id", "turn", F.explode("said").alias("key")).union(runs)
     return said.join(broadcast_if_small(durable(keys)), ["conv_id", "key"], "left_semi").select("conv_id", "key", "turn").distinct()
