@@ -2,6 +2,16 @@
 
 Quality rules drop documents, near-duplicates keep one document of each group, documents with
 benchmark passages go, secrets are masked, and what is left is packed into token sequences.
+
+All stages but the last return the columns they were given, whatever further ones are called. Null and
+empty texts, null ids, rows that repeat an id or a whole row, and empty tables are valid input:
+
+* ``quality_rules``: a null or empty text has no words and is rejected; each row is judged by its own text.
+* ``near_dedup``: one row of each group stays, also among repeated rows and rows without an id; a text
+  without words is linked with nothing and stays. Of equal texts the smallest id stays, nulls last.
+* ``decontamination``: a null or empty text overlaps with nothing; rows that share an id are judged apart.
+* ``secret_scans``: null and empty texts stay as they are; ``n_chars``, if there, is counted anew.
+* ``packing``: a null or empty text is the example of id 1 alone; every row is an example of its own.
 """
 
 from __future__ import annotations
@@ -22,18 +32,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is alike in four fifths of its five-word shingles."""
     return near_dup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
     return decontaminate.without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
     out = secrets.redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,6 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in token sequences."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
