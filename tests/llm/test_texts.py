@@ -242,6 +242,32 @@ def test_packing_query(spark, small):
     assert check_packing(QUERIES["op10_packing"][0](spark, small).collect(), ids) == 0
 
 
+def test_packing_with_prompts_and_binding_limits(spark, small):
+    """Every limit stops some sequence, and none is passed."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(150)
+    df = docs.selectExpr("doc_id", "text", "cast(case when doc_id % 3 = 0 then 400 when doc_id % 3 = 1 then 5 end as int) AS quiet").repartition(2)
+    quiet = {r.doc_id: r.quiet or 0 for r in df.collect()}
+    limits = {"tokens": 512, "segments": 4, "loss_tokens": 300}
+    rows = packing.pack(df, TOKENIZER, **limits, prompt_column="quiet", with_ids=False).collect()
+    got = {}
+    for r in rows:
+        s = got.setdefault(r.sequence_id, [0, 0, 0])
+        s[0] += r.length
+        s[1] += 1
+        s[2] += max(0, r.start + r.length - max(r.start, quiet[r.doc_id]))
+    assert all(x <= y for s in got.values() for x, y in zip(s, limits.values()))
+    assert all(sum(s[i] == y for s in got.values()) > 2 for i, y in enumerate(limits.values()))
+    whole = {}
+    for r in rows:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+    for (_, n), parts in whole.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == n
+
+
 def test_packing_odd_rows(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "Hello world " * 4000), (None, "x"), (4, "a")])
     rows = packing.pack(df, TOKENIZER).collect()
