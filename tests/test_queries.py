@@ -35,6 +35,14 @@ def test_query(spark, small, con, name):
     assert problem is None
 
 
+@pytest.mark.parametrize("name", sorted(MAY_BE_EMPTY))
+def test_rare_findings(spark, name):
+    """What the smallest tables lack occurs in the next larger ones."""
+    larger = "/root/testdata/sf0.01"
+    run, sql = QUERIES[name]
+    assert difference(run(spark, larger), duck(larger), sql) is None
+
+
 @pytest.fixture(scope="module")
 def skewed(spark, small, tmp_path_factory):
     """The same tables with a third of the rows on one user and day, one part, one customer."""
@@ -63,7 +71,8 @@ def skewed(spark, small, tmp_path_factory):
 ON_SKEW = """transitions container_state role_statistics last_failure first_live placement_cells label_phases
 bootstrap_timeout recency_rank pick_hosts release_candidates scale_plan admit_allocations containers_to_release
 instances_by_role sequence_breaks component_state silence_alerts busiest_hosts settle_requests pick_app
-resolve_config flatten_trees substitute_vars rebuild_from_live""".split()
+resolve_config flatten_trees substitute_vars rebuild_from_live decide_allocations match_requests status_by_role
+status_document_records app_containers audit_config placement_sums returned_hosts""".split()
 
 
 @pytest.mark.parametrize("name", ON_SKEW)
