@@ -204,7 +204,7 @@ def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
     end in it after a dot; a suffix may contain dots. Rules are ``int`` (a bound of -1 is
     none), ``count`` (a max of 0 is none), ``heap``, ``name`` and ``schema``. Every key is
     looked up by those of its tails that have as many dots as some rule, so the work is one
-    equi-join however many rules there are.
+    equi-join however many rules there are. Rules are read twice and should be a written table.
     """
     dotted = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) + 1
     tail = lambda n: F.call_function("substring_index", F.col("key"), F.lit("."), -n)
@@ -218,7 +218,9 @@ def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
         if sum(r.n for r in shapes) <= BROADCAST_ROWS and sum(r.bytes for r in shapes) <= BROADCAST_BYTES:
             rules = F.broadcast(rules)
     hit = entries.filter(F.col("key").isNotNull()).withColumn("key_suffix", F.explode(tails)).join(rules, "key_suffix")
-    number = decode_int(F.trim("value"))
+    # read once behind the join; put into the conditions, the number's expression would be worked out for each of them
+    hit = hit.withColumn("_number", F.explode(F.array(F.when(F.col("rule").isin("int", "count"), decode_int(F.trim("value"))))))
+    number = F.col("_number")
     low = F.when((F.col("rule") == "count") | (F.col("min") >= 0), F.col("min"))
     high = F.when(F.when(F.col("rule") == "count", F.col("max") > 0).otherwise(F.col("max") >= 0), F.col("max"))
     ranged = F.col("rule").isin("int", "count")
@@ -229,7 +231,7 @@ def audit_config(entries: DataFrame, rules: DataFrame) -> DataFrame:
         .when((F.col("rule") == "heap") & heap_megabytes(F.col("value")).isNull(), "bad heap size")
         .when((F.col("rule") == "name") & ~is_legal_name(F.col("value")), "bad name")
         .when((F.col("rule") == "schema") & ~F.col("value").eqNullSafe(F.lit(SCHEMA_VERSION)), "unsupported version"))
-    return hit.select("doc", "section", "component", "key", "value", "rule", detail.alias("detail")).filter(
+    return hit.select("doc", "section", "component", "key", "value", "rule", F.explode(F.array(detail)).alias("detail")).filter(
         F.col("detail").isNotNull())
 
 

@@ -678,7 +678,7 @@ def _(spark, d):
     FROM joined
     WHERE rule IN ('name', 'schema') OR (rule IN ('int', 'count') AND (number < min OR number > max))""", recursive=True))
 def _(spark, d):
-    return config.audit_config(v.config(spark, d), v.audit_rules(spark, d))
+    return config.audit_config(v.config(spark, d), durable(v.audit_rules(spark, d)))
 
 
 @query("resource_requirement", with_views("resource_entries", """
