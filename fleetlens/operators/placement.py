@@ -49,7 +49,8 @@ def placement_cells(transitions: DataFrame) -> DataFrame:
         F.when(effect == "STARTED", 1).when(ended, -1).otherwise(0).alias("d_live"),
         F.when(effect == "RELEASING", 1).when(effect == "RELEASED", -1).otherwise(0).alias("d_releasing"),
     )
-    walked = clamped_totals(moves, ["role_id", "host"], [F.col("seq").asc()], {
+    # written once: they come out of a join, and cells are counted before they are walked through
+    walked = clamped_totals(durable(moves), ["role_id", "host"], [F.col("seq").asc()], {
         "starting": "d_starting", "live": "d_live", "releasing": "d_releasing"})
     freed = ended & (F.col("live") - F.col("releasing") == 0) & (F.col("starting") == 0)
     return walked.groupBy("role_id", "host").agg(
