@@ -47,13 +47,22 @@ def is_small(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that never broadcasts it.
+
+    Spark sizes a written table by the files it came from, which can be far smaller than its rows
+    (built strings, compressed columns); a table counted as large would then still go through the driver.
+    """
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table when it is known to be small, else leave the join to Spark.
+    """Broadcast a written table when it is known to be small, else join it by shuffle.
 
     Deciding before the join starts saves the shuffle of the large side that Spark would
     otherwise begin before it knows the small one.
     """
-    return F.broadcast(df) if is_small(df) else df
+    return F.broadcast(df) if is_small(df) else shuffled(df)
 
 
 def null_safe(keys: Sequence[str], other: str) -> Column:
@@ -233,7 +242,7 @@ def join_counted(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: st
     shares = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
     hot = small.filter(F.col(rows) > hot_rows).select(*keys, shares.alias("_shares"))
     if hot.isEmpty():
-        return big.join(small, list(keys), how)
+        return big.join(shuffled(small), list(keys), how)
     dealt = (
         big.join(broadcast_if_small(hot), list(keys), "left")
         .withColumn("_share", F.when(F.col("_shares").isNull(), F.lit(0)).otherwise(
@@ -242,7 +251,7 @@ def join_counted(big: DataFrame, small: DataFrame, keys: Sequence[str], rows: st
     )
     copies = small.withColumn("_share", F.explode(
         F.sequence(F.lit(0), F.greatest(shares - 1, F.lit(0)))))
-    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+    return dealt.join(shuffled(copies), [*keys, "_share"], how).drop("_share")
 
 
 def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
@@ -260,11 +269,11 @@ def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequen
     shares = F.ceil(F.col("_rows") / F.lit(HOT_ROWS)).cast("int").alias("_shares")
     hot = durable(big.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).select(*keys, shares))
     if hot.isEmpty():
-        return big.join(one, list(keys), how)
+        return big.join(shuffled(one), list(keys), how)
     hot, n = F.broadcast(hot), F.coalesce("_shares", F.lit(1))
     dealt = big.join(hot, list(keys), "left").withColumn("_share", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("_shares")
     copies = one.join(hot, list(keys), "left").withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_shares")
-    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+    return dealt.join(shuffled(copies), [*keys, "_share"], how).drop("_share")
 
 
 SURE, OPEN, OUT = -1, 0, 1

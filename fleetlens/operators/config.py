@@ -25,8 +25,6 @@ MAX_RESOURCE = "max"
 MAX_SUBSTITUTIONS = 19
 TREE_ORDER = ("internal", "app_conf", "resources")
 
-ROUNDS_PER_CUT = 4
-
 
 def _components(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("section") == "component")
@@ -111,7 +109,7 @@ def substitute_vars(entries: DataFrame, scope: tuple[str, ...] = ("doc", "compon
     stops at the first unknown name. Every round is a join of the values still open
     with the raw entries they name, so no document has to fit into one row; values that
     name a variable which very many others name are dealt over shares. After every
-    few rounds the values are written out, finished ones are set aside, and the work
+    round the values are written out, finished ones are set aside, and the work
     ends as soon as nothing is open. A key is expected once in its scope.
     """
     def place(name: str) -> Column:  # null has a place of its own
@@ -126,19 +124,15 @@ def substitute_vars(entries: DataFrame, scope: tuple[str, ...] = ("doc", "compon
     swapped = F.concat(F.substring(value, F.lit(1), start - 1), F.col("_v"),
                        F.substring(value, start + F.length("_name") + 3, F.lit(2147483647)))
     columns = entries.columns
-    rounds = 0
     pending = entries.withColumn("_name", reference(value))
     finished = [pending.filter(F.col("_name").isNull()).select(*columns)]
     pending = pending.filter(F.col("_name").isNotNull())
-    while rounds < MAX_SUBSTITUTIONS:
-        for _ in range(min(ROUNDS_PER_CUT, MAX_SUBSTITUTIONS - rounds)):
-            rounds += 1
-            known = F.col("_v").isNotNull()
-            pending = (
-                join_one(pending.withColumn("_at", place("_name")), raw, ["_at"], ["key"], "left", written=True)
-                .withColumn("value", F.when(known, swapped).otherwise(value))
-                .withColumn("_name", F.when(known, reference(value))).select(*columns, "_name"))
-        pending = durable(pending)
+    known = F.col("_v").isNotNull()
+    for _ in range(MAX_SUBSTITUTIONS):
+        pending = durable(
+            join_one(pending.withColumn("_at", place("_name")), raw, ["_at"], ["key"], "left", written=True)
+            .withColumn("value", F.when(known, swapped).otherwise(value))
+            .withColumn("_name", F.when(known, reference(value))).select(*columns, "_name"))
         finished.append(pending.filter(F.col("_name").isNull()).select(*columns))
         pending = pending.filter(F.col("_name").isNotNull())
         if pending.isEmpty():

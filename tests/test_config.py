@@ -114,6 +114,17 @@ def test_substitute(spark):
     assert got == {**RAW, **CHANGED}
 
 
+def test_substitute_sends_no_large_table_through_the_driver(spark, monkeypatch):
+    from fleetlens.functions import ordered
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    plans, written = [], c.durable
+    monkeypatch.setattr(c, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    df = spark.createDataFrame([("d", "global", None, k, x) for k, x in RAW.items()], SCHEMA)
+    assert {r.key: r.value for r in c.substitute_vars(df).collect()} == {**RAW, **CHANGED}
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert all(p.count("SortMergeJoin") <= 1 for p in plans)  # no round is worked out again for a later one
+
+
 def test_substitute_stays_in_scope(spark):
     df = spark.createDataFrame([("d", "component", "a", "x", "${y}"), ("d", "component", "b", "y", "1")], SCHEMA)
     assert as_map(c.substitute_vars(df))[("a", "x")] == "${y}"

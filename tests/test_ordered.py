@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import ordered
 from fleetlens.functions.ordered import (
     clamped_totals, first_k_in_group, join_counted, previous_in_group, rank_in_group)
+from fleetlens.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +159,21 @@ def test_join_one_deals_a_hot_key(spark, skewed, monkeypatch):
         for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
             spark.conf.unset(c)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_what_was_counted_as_large_is_not_broadcast(skewed, monkeypatch):
+    """Spark holds these written tables for small, but only the count decides."""
+    big = durable(skewed.filter("g is not null"))
+    one = durable(big.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("top")))
+    joins = [lambda: ordered.join_one(big, one, ["g"], ["id"], "left", written=True),
+             lambda: join_counted(big, one, ["g"], "n", ["id"], "left"),
+             lambda: ordered.attach(big, one, ["g"]), lambda: join_counted(big, one, ["g"], "n", ["id"], hot_rows=500)]
+    small = [j() for j in joins]
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    for was, now in zip(small, (j() for j in joins)):
+        assert "BroadcastHashJoin" in plan_of(was) and "SortMergeJoin" in plan_of(now) and "BroadcastHashJoin" not in plan_of(now)
+        same(now, was)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
