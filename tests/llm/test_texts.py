@@ -116,6 +116,44 @@ def test_forest_isolates_what_lies_apart():
     assert forest.score(far).min() > np.quantile(forest.score(good), 0.99)
 
 
+def test_forest_counts_every_labelled_row(spark, monkeypatch):
+    """Strangeness and threshold equal those of one forest over all rows, here more than a sample once held."""
+    from fleetlens.functions import ordered
+    rng = np.random.default_rng(2)
+    sizes, marks = rng.integers(2, 9, 21_000), rng.integers(0, 12, 21_000)
+    rows = [(i, " ".join(["A" * int(n) + str(j) for j in range(50)] + ["#"] * int(m))) for i, (n, m) in enumerate(zip(sizes, marks))]
+    rows[777] = (777, " ".join(f"w{j}####" for j in range(400)))
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(len(rows))], "doc_id long, quality int").repartition(3)
+    x = [None] * len(rows)
+    for i, (_, text) in enumerate(rows):
+        words_of = text.split()
+        chars, upper = sum(map(len, words_of)), sum(c == "A" for c in text)
+        window = [tuple(words_of[k:k + 3]) for k in range(len(words_of) - 2)]
+        again = {w for w, n in Counter(window).items() if n > 1}
+        repeated = {k + j for k, w in enumerate(window) if w in again for j in range(3)}
+        x[i] = [chars / len(words_of), np.log1p(text.count("#") / len(words_of)), len(repeated) / len(words_of), upper / chars]
+    x, good = np.array(x), np.arange(len(rows)) % 10 > 0
+    forest = quality_rules.IsolationForest(x[good], x.min(axis=0), x.max(axis=0))
+    want = forest.score(x)
+    limit = np.sort(want[good])[int(np.floor(good.sum() * (1 - quality_rules.GOOD_LOSS)))]
+    for small in (ordered.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(ordered, "BROADCAST_ROWS", small)
+        got = quality_rules.quality_rules(frame(spark, rows), labels).collect()
+        assert len(got) == len(rows) and np.allclose([r.strangeness for r in got], want[[r.doc_id for r in got]])
+        assert all(r.kept == (want[r.doc_id] <= limit) for r in got if abs(want[r.doc_id] - limit) > 1e-9)
+    assert want[777] == want.max() and sum(r.kept for r in got if good[r.doc_id]) >= (1 - quality_rules.GOOD_LOSS) * good.sum()
+
+
+def test_value_at_a_place(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BUCKETS", 7)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(300), np.full(90, 0.25), 0.25 + np.arange(40) * 2.0 ** -54, [0.0, 1.0, 5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").cache()
+    for place in (0, 1, 2, 100, 150, 431, 432):
+        assert quality_rules.value_at(df, "v", place) == np.sort(values)[place]
+    assert quality_rules.value_at(df.filter("v = 0.25"), "v", 5) == 0.25
+
+
 # --- quality model ---------------------------------------------------------------------
 
 def test_model_on_held_out_rows(spark, small):
